@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import fingerprints, language_id, token_counts, toxicity
+from pricewren.llm import fingerprints, jaccard_join, language_id, token_counts, toxicity
 from pricewren.llm.common import held_out, read_table
 
 
@@ -30,6 +30,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(read_table(spark, sf_dir, "documents"), words=3, threshold=(9, 10))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(~held_out(F.col("doc_id"))))
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
 }
 
