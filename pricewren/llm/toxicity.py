@@ -112,7 +112,7 @@ class Lexicon:
 
 
 def _features(words: list[str]) -> set[str]:
-    """Whole words and beginnings; and pairs of words, by a mark in front, as candidates for exceptions."""
+    """Whole words and beginnings."""
     kinds = set(words)
     out = {f" {w} " for w in kinds}
     for n in BEGINNINGS:
@@ -132,8 +132,8 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[k] for k in part], pa.int64()), pa.array([other[k] for k in part], pa.int64())], names=["entry", "pos", "neg"])
 
 
-def _count_pairs(entries: dict[str, float]):
-    """Pairs of neighbouring words of which one is in the lexicon."""
+def _count_pairs(entries: set[str]):
+    """Pairs of neighbouring words of which one is among the entries."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, other = Counter(), Counter()
@@ -185,12 +185,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
         z = lambda pos, neg: odds(pos, neg) / F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
         pos, neg = F.col("pos"), F.col("neg")
         counted = sample.mapInArrow(_count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        good = counted.where((pos >= LEAST_TEXTS) & (z(pos, neg) >= LEAST_Z)).select("entry", odds(pos, neg).alias("weight"), z(pos, neg).alias("z"), pos)
+        good = counted.where((pos >= LEAST_TEXTS) & (z(pos, neg) >= LEAST_Z)).select("entry", odds(pos, neg).alias("weight"), z(pos, neg).alias("z"), neg)
         best = good.orderBy(F.desc("z"), "entry").limit(ENTRIES).collect()
         entries = {r["entry"]: r["weight"] for r in best}
         found = tuple(exceptions)
-        if entries:
-            pairs = sample.mapInArrow(_count_pairs(entries), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        mixed = {r["entry"] for r in best if r["neg"] >= LEAST_TEXTS}  # others need no exceptions
+        if mixed:
+            pairs = sample.mapInArrow(_count_pairs(mixed), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
             calm = pairs.where((neg >= LEAST_TEXTS) & (z(pos, neg) <= -LEAST_Z)).orderBy(F.asc(z(pos, neg)), "entry").limit(ENTRIES)
             found += tuple(r["entry"] for r in calm.select("entry").collect())
         lexicon = Lexicon(entries, found)
