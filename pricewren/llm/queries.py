@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import fingerprints, jaccard_join, language_id, token_counts, toxicity
+from pricewren.llm import fingerprints, jaccard_join, language_id, packing, token_counts, toxicity
 from pricewren.llm.common import held_out, read_table
 
 
@@ -41,12 +41,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, window=2048)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op6_token_counts": op6_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
