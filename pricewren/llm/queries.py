@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import embedding_dedup, fingerprints, jaccard_join, language_id, packing, token_counts, toxicity
+from pricewren.llm import embedding_dedup, fingerprints, jaccard_join, language_id, packing, secrets, token_counts, toxicity
 from pricewren.llm.common import held_out, read_table
 
 
@@ -26,6 +26,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words")
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.random_strings(spark).unionByName(secrets.ordinary_strings(docs)))
+    found = secrets.scan(docs, model).select("doc_id", "found")
+    base = F.filter("found", lambda s: s["kind"] < 3)
+    number = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+    return found.select("doc_id", number(0), number(1), number(2), F.sha2(secrets.as_text(base), 256).alias("base_sha256"), secrets.as_text(F.col("found")).alias("spans"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
@@ -52,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
+    "op5_secret_scans": op5_secret_scans,
     "op6_token_counts": op6_token_counts,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_jaccard_join": op8_jaccard_join,
