@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import embedding_dedup, fingerprints, jaccard_join, language_id, packing, secrets, token_counts, toxicity
+from pricewren.llm import embedding_dedup, fingerprints, html_text, jaccard_join, language_id, mixing, packing, secrets, token_counts, toxicity
 from pricewren.llm.common import held_out, read_table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies, on the driver as on every executor."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -26,6 +27,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = mixing.sample(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "source", "lang", mixing.form_topic(F.col("text")).alias("topic"), mixing.token_weight(F.col("text")).alias("n_tokens"), "mix_probability")
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(secrets.random_strings(spark).unionByName(secrets.ordinary_strings(docs)))
@@ -36,7 +46,7 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +65,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, window=2048)
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, window=2048)
 
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_mixing": op4_mixing,
     "op5_secret_scans": op5_secret_scans,
     "op6_token_counts": op6_token_counts,
     "op7_embedding_dedup": op7_embedding_dedup,

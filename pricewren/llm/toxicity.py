@@ -222,3 +222,15 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([lex.score(*f) for f in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "score", "n_words"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, score double, n_words long")
+
+
+def clean(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
+    """The rows of docs, of any columns with text among them, that score below the limit."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [shared.value.score(*shared.value.weigh(t)) < limit for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
