@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pricewren.llm.common import written
-from pricewren.llm.tokens import encoder
+from pricewren.llm.tokens import encoder, slices
 
 #: Groups that the documents of one length are counted in.
 SALTS = 64
@@ -40,6 +40,7 @@ Batches = Iterable[pa.RecordBatch]
 def combinations(histogram: np.ndarray, window: int) -> list[tuple[int, ...]]:
     """Combinations of occurring lengths (descending) that add up to the window: all pairs, and for each length some spread triples and quadruples."""
     some = np.flatnonzero(histogram[:window])
+    some = some[some > 0]
     there = histogram > 0
     found: set[tuple[int, ...]] = set()
     for a in some.tolist():
@@ -207,9 +208,9 @@ def _encoded(path: str, end_id: int, window: int) -> Callable[[Batches], Iterato
     def encode(batches: Batches) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                ids = [x + end for x in tokens.encode([t or "" for t in part.column("text").to_pylist()])]
+            for at, n in slices(batch.column("text")):
+                part = batch.slice(at, n)
+                ids = [x + end for x in tokens.encode(part.column("text"))]
                 sums = [[zlib.crc32(x[i : i + 4 * window]) for i in range(0, len(x), 4 * window)] for x in ids]  # of the pieces of an uncut document
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["doc_id", "key", "doc_tokens", "sums"])
 
@@ -245,9 +246,10 @@ def _wanted_ids(path: str, end_id: int, wanted) -> Callable[[Batches], Iterator[
         for batch in batches:
             keys = batch.column("key").to_numpy()
             hit = np.flatnonzero(bits[keys & (FILTER_BITS - 1)])
-            for at in range(0, len(hit), 400):
-                part = batch.take(pa.array(hit[at : at + 400]))
-                ids = [x + end for x in tokens.encode([t or "" for t in part.column("text").to_pylist()])]
+            wanted_rows = batch.take(pa.array(hit))
+            for at, n in slices(wanted_rows.column("text")):
+                part = wanted_rows.slice(at, n)
+                ids = [x + end for x in tokens.encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.binary())], names=["key", "ids"])
 
     return encode

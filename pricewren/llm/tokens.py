@@ -9,12 +9,17 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bounds of what a worker remembers.
 PIECES, WORDS = 1_000_000, 500_000
+#: Texts are encoded in runs of about so many bytes.
+RUN_BYTES = 6 << 20
 #: Pre-tokenizer patterns whose matches hold no white space.
 SPACED = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",)
 #: On a line of its own, a word of Latin-1 letters and the marks behind it; no mark here starts a special token or a contraction.
@@ -89,27 +94,42 @@ class TextEncoder:
         if other := list(new - self.pieces.keys()):
             self.pieces.update(zip(other, self._plainly(other), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (null: empty) as little-endian unsigned 32-bit numbers."""
+        texts = pc.fill_null(texts, "")
         if not self.spaced:
-            return self._plainly(texts)
-        out: list[bytes] = []
-        for at in range(0, len(texts), 200):
-            if len(self.pieces) > PIECES:
-                self.pieces = {"": b""}
-            split = [t.replace("\n", " ").split(" ") for t in texts[at : at + 200]]
-            ids = [[*map(self.pieces.get, pieces)] for pieces in split]
-            gaps = []  # text, place
-            for k, found in enumerate(ids):
-                i = -1
-                for _ in range(found.count(None)):
-                    gaps.append((k, i := found.index(None, i + 1)))
-            if gaps:
-                self._learn({split[k][i] for k, i in gaps})
-                for k, i in gaps:
-                    ids[k][i] = self.pieces[split[k][i]]
-            out += map(b"".join, ids)
-        return out
+            return self._plainly(texts.to_pylist())
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        if len(self.pieces) > PIECES:
+            self.pieces = {"": b""}
+        found = [*map(self.pieces.get, kinds)]
+        if gaps := [i for i, x in enumerate(found) if x is None]:
+            self._learn({kinds[i] for i in gaps})
+            for i in gaps:
+                found[i] = self.pieces[kinds[i]]
+        # The ids of all pieces one behind the other: those of each kind are copied to where its pieces stand.
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        kind = coded.indices.to_numpy()
+        size = sizes[kind]
+        ends = np.cumsum(size)
+        flat = ids[np.repeat(firsts[kind] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of rows of about RUN_BYTES bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        n = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES)) - at
+        n = max(1, min(n, len(ends) - at))
+        yield at, n
+        at += n
 
 
 @lru_cache(maxsize=2)

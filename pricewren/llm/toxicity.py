@@ -33,8 +33,8 @@ SAMPLE_ROWS = 6_000
 ENTRIES = 20_000
 #: A word's beginnings of these lengths are candidates, besides the word itself.
 BEGINNINGS = (4, 5, 6, 7)
-#: Least number of toxic texts with an entry, and least log odds in standard errors.
-LEAST_TEXTS, LEAST_Z = 5, 3.5
+#: Least number of toxic texts with an entry, least log odds, and these in standard errors.
+LEAST_TEXTS, LEAST_ODDS, LEAST_Z = 5, 1.0, 3.5
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 # Letters that look like Latin ones, and digits and signs used in place of letters.
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
         z = lambda pos, neg: odds(pos, neg) / F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
         pos, neg = F.col("pos"), F.col("neg")
         counted = sample.mapInArrow(_count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        good = counted.where((pos >= LEAST_TEXTS) & (z(pos, neg) >= LEAST_Z)).select("entry", odds(pos, neg).alias("weight"), z(pos, neg).alias("z"), neg)
+        good = counted.where((pos >= LEAST_TEXTS) & (odds(pos, neg) >= LEAST_ODDS) & (z(pos, neg) >= LEAST_Z)).select("entry", odds(pos, neg).alias("weight"), z(pos, neg).alias("z"), neg)
         best = good.orderBy(F.desc("z"), "entry").limit(ENTRIES).collect()
         entries = {r["entry"]: r["weight"] for r in best}
         found = tuple(exceptions)
