@@ -1,4 +1,9 @@
 """All registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pricewren.plans import prices
+
+PLANS = (prices,)
+QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
+ORACLES: dict = {k: v for p in PLANS for k, v in p.ORACLES.items()}
