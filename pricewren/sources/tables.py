@@ -64,6 +64,29 @@ def supplier_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchase decisions: orders with an optimised total and a saving that are arithmetic of their keys; orders of status F are realised."""
+    k, total = F.col("o_orderkey"), F.col("o_totalprice")
+    optimised = money_round(total * (1 - (k % 10).cast("double") / 100))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("decision_id"),
+        F.col("o_custkey").alias("owner_id"),
+        F.col("o_orderdate").alias("created_at"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("currency"),
+        total.alias("baseline_total"),
+        optimised.alias("optimised_total"),
+        money_round(total - optimised).alias("savings"),
+        F.when(F.col("o_orderstatus") == "F", "realized").otherwise("potential").alias("savings_kind"),
+    )
+
+
+def order_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_id and the sorted array of its suppliers."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id"))
+    return rows.agg(F.array_sort(F.collect_set("l_suppkey")).alias("supplier_ids"))
+
+
 #: The same terms for SQL: a common table expression over supplier.
 TERMS_SQL = """
 terms AS (
@@ -105,3 +128,14 @@ listings AS (
     SELECT *, row_number() OVER (PARTITION BY product_id, competitor_id ORDER BY recorded_at DESC, order_id DESC, line_no DESC, price DESC) AS rn FROM history) AS x
   WHERE rn = 1)"""
 )
+
+_OPTIMISED = sql_money("o_totalprice * (1 - CAST(o_orderkey % 10 AS DOUBLE) / 100)")
+DECISIONS_SQL = f"""
+decisions AS (
+  SELECT o_orderkey AS decision_id, o_custkey AS owner_id, o_orderdate AS created_at, o_orderstatus AS status, o_orderpriority AS currency,
+    o_totalprice AS baseline_total, {_OPTIMISED} AS optimised_total, {sql_money(f"o_totalprice - {_OPTIMISED}")} AS savings,
+    CASE WHEN o_orderstatus = 'F' THEN 'realized' ELSE 'potential' END AS savings_kind
+  FROM orders)"""
+
+SUPPLIERS_SQL = """
+order_suppliers AS (SELECT l_orderkey AS order_id, list_sort(list(DISTINCT l_suppkey)) AS supplier_ids FROM lineitem GROUP BY l_orderkey)"""
