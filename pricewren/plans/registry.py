@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pricewren.plans import prices
+from pricewren.plans import catalog, events, offers, prices, relations, texts
 
-PLANS = (prices,)
+PLANS = (prices, catalog, relations, events, offers, texts)
 QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in PLANS for k, v in p.ORACLES.items()}
