@@ -31,8 +31,6 @@ MARGINS = ("source", "lang", "topic")
 STEPS, TOLERANCE = 60, 1e-9
 TEMPER = 0.7
 DRIVER_CELLS = 200_000
-#: Rounds of the distributed fit between two written tables.
-ROUNDS_WRITTEN = 4
 _NULL = "\0null"
 
 
@@ -96,17 +94,31 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], steps: int = STEPS, dri
         kept = [(*[r[m] for m in margins], float(x)) for r, x in zip(rows, fitted, strict=True)]
         shares = spark.createDataFrame(kept, ", ".join(f"{m} string" for m in margins) + ", share double")
         return cells.join(shares, margins, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
-    fitted = cells.where("tokens > 0").withColumn("share", F.col("tokens").cast("double"))
+    # Too many cells for the driver: a cell's share is its tokens times one factor for each margin. A step sums the cells' shares by a margin's
+    # values and writes that margin's new factors, so the plan of a step doesn't grow.
+    full = cells.where("tokens > 0")
     goals = {m: written(t.select(F.col("value").alias(m), F.col("share").alias("goal")), "targets") for m, t in targets.items()}
-    for step in range(steps):
+    factors = {m: written(full.select(m).distinct().withColumn("factor", F.lit(1.0)), "factors") for m in margins}
+
+    def shares() -> DataFrame:
+        out = full.withColumn("share", F.col("tokens").cast("double"))
         for m in margins:
-            sums = fitted.groupBy(m).agg(F.sum("share").alias("sum")).where("sum > 0").join(goals[m], m, "left").withColumn("goal", F.coalesce("goal", F.lit(0.0)))
-            total = sums.agg(F.sum("goal").alias("all"))
-            factors = sums.crossJoin(F.broadcast(total)).select(m, F.coalesce(F.try_divide(F.col("goal"), F.col("all") * F.col("sum")), F.lit(0.0)).alias("factor"))  # one row
-            fitted = fitted.join(factors, m, "left").withColumn("share", F.col("share") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-        if step % ROUNDS_WRITTEN == ROUNDS_WRITTEN - 1:
-            fitted = written(fitted, "fitted")
-    return cells.join(fitted.select(*margins, "share"), margins, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+            out = out.join(factors[m], m).withColumn("share", F.col("share") * F.col("factor")).drop("factor")
+        return out
+
+    for _ in range(steps):
+        off = 0.0
+        for m in margins:
+            sums = shares().groupBy(m).agg(F.sum("share").alias("sum")).join(goals[m], m, "left")
+            sums = written(sums.withColumn("goal", F.when(F.col("sum") > 0, F.coalesce("goal", F.lit(0.0))).otherwise(0.0)), "sums")
+            total = sums.agg(F.sum("goal")).first()[0] or 1.0
+            wanted = F.col("goal") / total
+            off = max(off, sums.agg(F.max(F.abs(wanted - F.col("sum")))).first()[0] or 0.0)
+            step = sums.select(m, F.when(F.col("sum") > 0, wanted / F.col("sum")).otherwise(0.0).alias("step"))
+            factors[m] = written(factors[m].join(step, m).select(m, (F.col("factor") * F.col("step")).alias("factor")), "factors")
+        if off < TOLERANCE:
+            break
+    return cells.join(shares().select(*margins, "share"), margins, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
 
 
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, share: float | None = None, temper: float = TEMPER, seed: int = 4) -> DataFrame:

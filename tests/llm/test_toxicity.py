@@ -13,11 +13,11 @@ def rank_share(scored) -> float:
 
 
 def test_held_out_accuracy(spark):
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = "/root/testdata/sf0.1"  # smaller tables label too few toxic rows to learn from
     found = queries.op2_toxicity(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     rows = found.join(labels, "doc_id").where("held_out").select("score", "toxic", "predicted").collect()
-    assert len(rows) > 40
+    assert len(rows) > 400
     assert rank_share([(r["score"], r["toxic"]) for r in rows]) > 0.95
     assert sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) > 0.9
     assert found.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
