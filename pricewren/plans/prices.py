@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +12,6 @@ from pricewren.sources import tables
 from pricewren.sources.tables import HISTORY_SQL, LISTINGS_SQL, sql_money
 
 NOW = "2001-11-05 00:00:00"
-_now = F.lit(NOW).cast("timestamp_ntz")
 _SERIES = "recorded_at, competitor_id, order_id, line_no, price"
 
 
@@ -20,6 +19,10 @@ def sql_pct(before: str, after: str, digits: int = 2) -> str:
     return sql_money(f"(({after}) - ({before})) / NULLIF(CAST({before} AS DOUBLE), 0) * 100", digits)
 
 
+def _now() -> Column:
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
 def stocked_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings with a stock state that is arithmetic of the keys."""
     return tables.listings(spark, sf_dir).withColumn("in_stock", (F.col("product_id") + F.col("competitor_id")) % 7 != 0)
@@ -44,7 +47,7 @@ def market_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def biggest_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = series.with_previous(tables.price_history(spark, sf_dir))
-    return market.biggest_movers(changes, tables.products(spark, sf_dir), _now - F.make_dt_interval(F.lit(7)))
+    return market.biggest_movers(changes, tables.products(spark, sf_dir), _now() - F.make_dt_interval(F.lit(7)))
 
 
 def portfolio_listing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +63,12 @@ def price_history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def due_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = market.due(tables.listings(spark, sf_dir), timed_products(spark, sf_dir), _now)
+    rows = market.due(tables.listings(spark, sf_dir), timed_products(spark, sf_dir), _now())
     return rows.orderBy(F.col("updated_at").asc_nulls_first(), "product_id", "competitor_id").limit(25)
 
 
 def stale_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = F.col("updated_at").isNull() | (F.col("updated_at") < _now - F.make_dt_interval(F.lit(365)))
+    late = F.col("updated_at").isNull() | (F.col("updated_at") < _now() - F.make_dt_interval(F.lit(365)))
     rows = tables.listings(spark, sf_dir).where(late)
     best = rows.orderBy(F.col("updated_at").asc_nulls_first(), "product_id", "competitor_id").limit(100)
     return best.join(tables.products(spark, sf_dir).select("product_id", "name"), "product_id").select("product_id", "competitor_id", "name", "price", "updated_at")
@@ -73,12 +76,12 @@ def stale_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.price_history(spark, sf_dir)
-    return series.thinned(rows, _now).select("product_id", "competitor_id", "price", "recorded_at", "order_id", "line_no")
+    return series.thinned(rows, _now()).select("product_id", "competitor_id", "price", "recorded_at", "order_id", "line_no")
 
 
 def history_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What retention removes, by year."""
-    old = F.col("recorded_at") < _now - F.make_dt_interval(F.lit(400))
+    old = F.col("recorded_at") < _now() - F.make_dt_interval(F.lit(400))
     return tables.price_history(spark, sf_dir).where(old).groupBy(F.year("recorded_at").cast("long").alias("year")).agg(F.count("*").alias("expired"))
 
 

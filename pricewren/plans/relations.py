@@ -12,7 +12,6 @@ from pricewren.sources import tables
 from pricewren.sources.tables import DECISIONS_SQL, LISTINGS_SQL, SUPPLIERS_SQL, TERMS_SQL, sql_money, sql_plain, table
 
 HOSTS = ("example.com", "ththre.example.com", "example.org", "thther.example.org", "example.net", "store.example.edu")
-_THREE = F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>")
 
 
 def alerts_with_optional_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +61,7 @@ def host_suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def array_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.order_suppliers(spark, sf_dir).where(F.arrays_overlap("supplier_ids", _THREE))
+    rows = tables.order_suppliers(spark, sf_dir).where(F.arrays_overlap("supplier_ids", F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>")))
     return rows.select("order_id", F.size("supplier_ids").cast("long").alias("suppliers"), F.element_at("supplier_ids", 1).alias("first_supplier"))
 
 

@@ -52,19 +52,17 @@ def gtin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", digits.alias("digits"), text.gtin_valid(digits).alias("valid"))
 
 
-_whole, _cents = F.floor(F.col("l_extendedprice")).cast("long"), F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("long") % 100
-
-
 def _amount_text() -> Column:
     """Prices as they are written in several ways."""
-    k = F.col("l_linenumber")
-    thousands, rest, c = F.floor(_whole / 1000).cast("string"), F.lpad((_whole % 1000).cast("string"), 3, "0"), F.lpad(_cents.cast("string"), 2, "0")
+    k, price = F.col("l_linenumber"), F.col("l_extendedprice")
+    whole, cents = F.floor(price).cast("long"), F.floor(price * 100 + 0.5).cast("long") % 100
+    thousands, rest, c = F.floor(whole / 1000).cast("string"), F.lpad((whole % 1000).cast("string"), 3, "0"), F.lpad(cents.cast("string"), 2, "0")
     return (
         F.when(k == 1, F.concat(thousands, F.lit("."), rest, F.lit(","), c, F.lit(" лв.")))
         .when(k == 2, F.concat(thousands, F.lit(","), rest, F.lit("."), c, F.lit(" USD")))
-        .when(k == 3, F.concat(F.lit("€"), _whole.cast("string"), F.lit("."), c))
+        .when(k == 3, F.concat(F.lit("€"), whole.cast("string"), F.lit("."), c))
         .when(k == 4, F.concat(thousands, F.lit("."), rest))
-        .when(k == 5, F.concat(_whole.cast("string"), F.lit(","), c, F.lit(" lei")))
+        .when(k == 5, F.concat(whole.cast("string"), F.lit(","), c, F.lit(" lei")))
         .otherwise(F.lit("по запитване"))
     )
 
