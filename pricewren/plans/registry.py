@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pricewren.plans import catalog, events, matches, offers, prices, relations, streams, texts
+from pricewren.plans import catalog, events, matches, offers, prices, relations, states, streams, texts
 
-PLANS = (prices, catalog, relations, events, offers, texts, matches, streams)
+PLANS = (prices, catalog, relations, events, offers, texts, matches, states, streams)
 QUERIES: dict = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in PLANS for k, v in p.ORACLES.items()}
