@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +47,20 @@ def held_out(doc_id: Column) -> Column:
 def unit_hash(*columns: Column, seed: int) -> Column:
     """A number in [0, 1) fixed by the columns' values and the seed."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)).cast("double") / float(1 << 40)
+
+
+def frugal(of: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back when its partition is done: Spark reuses Python workers, and allocators would keep the
+    largest partition's memory beside the next stage's."""
+
+    @functools.wraps(of)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from of(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return run

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pricewren.llm.common import written
+from pricewren.llm.common import frugal, written
 from pricewren.llm.tokens import encoder, slices
 
 #: Groups that the documents of one length are counted in.
@@ -266,7 +266,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     """A row for each piece of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset. tokenizer_path is a path on each executor."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(10), "doc_id", "text").alias("key"), "text")
-    sized = rows.mapInArrow(_encoded(tokenizer_path, end_id, window), "doc_id long, key long, doc_tokens long, sums array<long>")
+    sized = rows.mapInArrow(frugal(_encoded(tokenizer_path, end_id, window)), "doc_id long, key long, doc_tokens long, sums array<long>")
     sized = written(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
     rest, salt = (F.col("doc_tokens") % window).cast("int"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
     keyed = sized.withColumn("rest", rest).withColumn("salt", salt).withColumn("full", F.floor(F.col("doc_tokens") / window))
@@ -281,13 +281,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     order = Window.partitionBy("rest", "salt").orderBy("row")
     ranked = keyed.withColumn("rank", F.row_number().over(order) - 1).withColumn("before", F.coalesce(F.sum("full").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    placed = written(ranked.select("doc_id", "key", "doc_tokens", "sums", "salt", "rank", "before").mapInArrow(_pieces(plan, context.broadcast((ranks, windows)), window), out), "pieces")
+    placed = written(ranked.select("doc_id", "key", "doc_tokens", "sums", "salt", "rank", "before").mapInArrow(frugal(_pieces(plan, context.broadcast((ranks, windows)), window)), out), "pieces")
     uncut, cut = placed.where("ids_crc32 is not null").drop("key"), placed.where("ids_crc32 is null")
     cells = cut.select(F.col("key").bitwiseAND(FILTER_BITS - 1).cast("int").alias("cell")).distinct().toArrow().column("cell").to_numpy()  # at most FILTER_BITS numbers
     if not len(cells):
         return uncut
     bits = np.zeros(FILTER_BITS, dtype=bool)
     bits[cells] = True
-    ids = rows.mapInArrow(_wanted_ids(tokenizer_path, end_id, context.broadcast(bits)), T.StructType([T.StructField("key", T.LongType()), T.StructField("ids", T.BinaryType())]))
+    ids = rows.mapInArrow(frugal(_wanted_ids(tokenizer_path, end_id, context.broadcast(bits))), T.StructType([T.StructField("key", T.LongType()), T.StructField("ids", T.BinaryType())]))
     ids = ids.join(cut.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("ids").alias("ids"))  # equal keys have equal ids
-    return uncut.unionByName(cut.join(ids, "key").drop("key").mapInArrow(_summed, uncut.schema))
+    return uncut.unionByName(cut.join(ids, "key").drop("key").mapInArrow(frugal(_summed), uncut.schema))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import unit_hash
+from pricewren.llm.common import frugal, unit_hash
 
 #: Bound of the training sample, for each label.
 SAMPLE_ROWS = 6_000
@@ -36,6 +36,8 @@ BEGINNINGS = (4, 5, 6, 7)
 #: Least number of toxic texts with an entry, least log odds, and these in standard errors.
 LEAST_TEXTS, LEAST_ODDS, LEAST_Z = 5, 1.0, 3.5
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
+#: Entries that a task counts before it hands them on.
+HELD = 150_000
 
 # Letters that look like Latin ones, and digits and signs used in place of letters.
 HOMOGLYPHS = dict(zip("аеорсухкмтвніјѕԁɡһԛԝαεορυχκντιΑΕΟΡΥΧΚΝΤΙ", "aeopcyxkmtbhijsdghqwaeopuxkvtiaeopyxknti", strict=False))
@@ -124,12 +126,21 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of a partition's texts with the numbers of toxic and other texts that hold them."""
     toxic, other = Counter(), Counter()
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            (toxic if label else other).update(_features(words_of(text)))
+        for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            (toxic if label else other).update(_features(words_of(text.as_py())))
+            if len(toxic) + len(other) > HELD:
+                yield from _counted(toxic, other)
+    yield from _counted(toxic, other)
+
+
+def _counted(toxic: Counter, other: Counter) -> Iterator[pa.RecordBatch]:
+    """The counts as rows; the counters are emptied."""
     keys = list(toxic.keys() | other.keys())
     for i in range(0, len(keys), 50_000):
         part = keys[i : i + 50_000]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[k] for k in part], pa.int64()), pa.array([other[k] for k in part], pa.int64())], names=["entry", "pos", "neg"])
+    toxic.clear()
+    other.clear()
 
 
 def _count_pairs(entries: set[str]):
@@ -140,12 +151,13 @@ def _count_pairs(entries: set[str]):
         whole = {e.strip() for e in entries if e.endswith(" ")}
         starts = {e.strip() for e in entries if not e.endswith(" ")}
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = words_of(text)
+            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                words = words_of(text.as_py())
                 hit = [w in whole or any(w[:n] in starts for n in BEGINNINGS) for w in words]
                 (toxic if label else other).update({f"{a} {b}" for a, b, x, y in zip(words, words[1:], hit, hit[1:]) if x or y})
-        keys = list(toxic.keys() | other.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([other[k] for k in keys], pa.int64())], names=["entry", "pos", "neg"])
+                if len(toxic) + len(other) > HELD:
+                    yield from _counted(toxic, other)
+        yield from _counted(toxic, other)
 
     return count
 
@@ -184,24 +196,24 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
         odds = lambda pos, neg: F.log((pos + 0.5) / (n1 + 1.0)) - F.log((neg + 0.5) / (n0 + 1.0))
         z = lambda pos, neg: odds(pos, neg) / F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
         pos, neg = F.col("pos"), F.col("neg")
-        counted = sample.mapInArrow(_count, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        counted = sample.mapInArrow(frugal(_count), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         good = counted.where((pos >= LEAST_TEXTS) & (odds(pos, neg) >= LEAST_ODDS) & (z(pos, neg) >= LEAST_Z)).select("entry", odds(pos, neg).alias("weight"), z(pos, neg).alias("z"), neg)
         best = good.orderBy(F.desc("z"), "entry").limit(ENTRIES).collect()
         entries = {r["entry"]: r["weight"] for r in best}
         found = tuple(exceptions)
         mixed = {r["entry"] for r in best if r["neg"] >= LEAST_TEXTS}  # others need no exceptions
         if mixed:
-            pairs = sample.mapInArrow(_count_pairs(mixed), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            pairs = sample.mapInArrow(frugal(_count_pairs(mixed)), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
             calm = pairs.where((neg >= LEAST_TEXTS) & (z(pos, neg) <= -LEAST_Z)).orderBy(F.asc(z(pos, neg)), "entry").limit(ENTRIES)
             found += tuple(r["entry"] for r in calm.select("entry").collect())
         lexicon = Lexicon(entries, found)
 
         def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                w = [lexicon.weigh(t) for t in batch.column("text").to_pylist()]
+                w = [lexicon.weigh(t.as_py()) for t in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in w], pa.float64()), pa.array([x for _, x in w], pa.int64()), batch.column("toxic").cast(pa.int32())], names=["weight", "words", "toxic"])
 
-        rows = sample.mapInArrow(weigh, "weight double, words long, toxic int").toArrow()
+        rows = sample.mapInArrow(frugal(weigh), "weight double, words long, toxic int").toArrow()
     finally:
         sample.unpersist()
     weight, words, y = (rows.column(c).to_numpy().astype(np.float64) for c in ("weight", "words", "toxic"))
@@ -218,10 +230,10 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for batch in batches:
-            found = [lex.weigh(t) for t in batch.column("text").to_pylist()]
+            found = [lex.weigh(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([lex.score(*f) for f in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "score", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, score double, n_words long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(of), "doc_id long, score double, n_words long")
 
 
 def clean(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
@@ -230,7 +242,7 @@ def clean(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [shared.value.score(*shared.value.weigh(t)) < limit for t in batch.column("text").to_pylist()]
+            good = [shared.value.score(*shared.value.weigh(t.as_py())) < limit for t in batch.column("text")]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)
