@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bounds of what a worker remembers.
-PIECES, WORDS = 1_000_000, 500_000
+PIECES, WORDS = 600_000, 300_000
 #: Texts are encoded in runs of about so many bytes.
-RUN_BYTES = 6 << 20
+RUN_BYTES = 3 << 20
 #: Pre-tokenizer patterns whose matches hold no white space.
 SPACED = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",)
 #: On a line of its own, a word of Latin-1 letters and the marks behind it; no mark here starts a special token or a contraction.
