@@ -110,7 +110,7 @@ def basket_best_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basket_optimal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basket.repaired_plans(*_basket(spark, sf_dir), shortlist=4)
+    return basket.repaired_plans(*_basket(spark, sf_dir))
 
 
 QUERIES = {
