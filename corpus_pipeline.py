@@ -39,7 +39,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by probabilities raked to the tempered shares of source, language and topic."""
-    return mixing.sample(docs.select(COLUMNS)).select(COLUMNS)
+    return mixing.sample(docs.select(COLUMNS), share=mixing.KEEP_SHARE).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

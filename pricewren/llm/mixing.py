@@ -2,8 +2,9 @@
 
 The tokens of each cell (source, language, topic) are summed over all documents; raking scales the cells until the sums by source, by
 language and by topic meet the targets; a document is then kept with its cell's calibrated probability, the fitted share of the wanted
-tokens over the cell's tokens. The largest mix is taken that repeats nothing: the wanted total is set so that the highest probability is 1
-(or is given as a share of the tokens, and probabilities are cut at 1).
+tokens over the cell's tokens. The wanted total is a share of the tokens (the queries take KEEP_SHARE): cells that would be repeated are kept in
+whole, and what they lack is raked over the others, so that no single cell decides how much is kept. Without a share, the largest mix is taken
+in which no cell is wanted in more than its tokens: the highest probability is 1.
 
 The cells are a table of their own throughout, and each step of the fit is a grouped sum over it; where it has at most DRIVER_CELLS rows, it
 is fitted in the driver, with the same arithmetic. Whether a document is kept follows from a hash of its id and text, so that a repeated run
@@ -30,6 +31,10 @@ from pricewren.llm.common import unit_hash, written
 MARGINS = ("source", "lang", "topic")
 STEPS, TOLERANCE = 60, 1e-9
 TEMPER = 0.7
+#: Share of the tokens that op4 and the pipeline keep.
+KEEP_SHARE = 0.5
+#: Of a value's target, the least that is left to its other cells when cells that are kept in whole have reached it.
+LEAST = 1e-3
 DRIVER_CELLS = 200_000
 _NULL = "\0null"
 
@@ -121,23 +126,82 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], steps: int = STEPS, dri
     return cells.join(shares().select(*margins, "share"), margins, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
 
 
+def bounded_in_driver(values: list[np.ndarray], tokens: np.ndarray, targets: list[dict], share: float) -> np.ndarray:
+    """Probabilities of cells that keep a share of the tokens: cells that the fit wants more of than there is are kept in whole, and the rest is
+    fitted again to what the targets then lack."""
+    whole, full, out = share * float(tokens.sum()), np.zeros(len(tokens), dtype=bool), np.zeros(len(tokens))
+    there = [sum(t.get(x, 0.0) for x in set(v)) for v, t in zip(values, targets, strict=True)]
+    while not full.all():
+        goals = []
+        for v, target, all_there in zip(values, targets, there, strict=True):
+            names, code = np.unique(v, return_inverse=True)
+            taken = np.bincount(code, weights=np.where(full, tokens, 0.0), minlength=len(names))
+            wanted = [target.get(x, 0.0) / (all_there or 1.0) * whole for x in names]
+            goals.append({x: max(w - t, w * LEAST) for x, w, t in zip(names, wanted, taken, strict=True)})
+        fitted = fit_in_driver([v[~full] for v in values], tokens[~full], goals) * (whole - float(tokens[full].sum()))
+        over = fitted > tokens[~full] * (1 + TOLERANCE)
+        out[~full] = fitted / tokens[~full]
+        full[np.flatnonzero(~full)[over]] = True
+        if not over.any():
+            break
+    return np.where(full, 1.0, np.minimum(out, 1.0))
+
+
+def bounded(cells: DataFrame, targets: dict[str, DataFrame], share: float, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """cells(source, lang, topic, tokens) with the probability of bounded_in_driver."""
+    spark, margins = cells.sparkSession, list(targets)
+    keyed = ", ".join(f"{m} string" for m in margins)
+    if cells.limit(driver_cells + 1).count() <= driver_cells:
+        rows = cells.where("tokens > 0").orderBy(*margins).collect()
+        goals = [{r["value"]: r["share"] for r in targets[m].collect()} for m in margins]
+        values = [np.array([r[m] for r in rows], dtype=object).astype(str) for m in margins]
+        found = bounded_in_driver(values, np.array([r["tokens"] for r in rows], dtype=np.int64), goals, share) if rows else []
+        kept = [(*[r[m] for m in margins], float(x)) for r, x in zip(rows, found, strict=True)]
+        return cells.join(spark.createDataFrame(kept, f"{keyed}, probability double"), margins, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    state = written(cells.where("tokens > 0").withColumn("full", F.lit(False)), "bounded")
+    goals = {}
+    for m, t in targets.items():
+        there = written(t.join(state.select(F.col(m).alias("value")).distinct(), "value", "left_semi"), "targets")
+        all_there = there.agg(F.sum("share")).first()[0] or 1.0
+        goals[m] = there.select("value", (F.col("share") / all_there).alias("share"))
+    whole = share * (state.agg(F.sum("tokens")).first()[0] or 0)
+    while True:
+        rest = whole - (state.where("full").agg(F.sum("tokens")).first()[0] or 0)
+        left = {}
+        for m, goal in goals.items():
+            taken = state.where("full").groupBy(F.col(m).alias("value")).agg(F.sum("tokens").alias("taken"))
+            wanted = F.col("share") * whole
+            left[m] = goal.join(taken, "value", "left").select("value", F.greatest(wanted - F.coalesce("taken", F.lit(0)), wanted * LEAST).alias("share"))
+        free = fit(state.where("not full").select(*margins, "tokens"), left, driver_cells=driver_cells).withColumn("probability", F.col("share") * rest / F.col("tokens"))
+        free = written(free.select(*margins, "tokens", "probability", (F.col("probability") > 1 + TOLERANCE).alias("full")), "bounded")
+        whole_cells = state.where("full").select(*margins, "tokens", F.lit(1.0).alias("probability"), "full")
+        state = written(whole_cells.unionByName(free), "bounded")
+        if not free.where("full").limit(1).count() or not state.where("not full").limit(1).count():
+            break
+    found = state.select(*margins, F.least("probability", F.lit(1.0)).alias("probability"))
+    return cells.join(found, margins, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+
+
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, share: float | None = None, temper: float = TEMPER, seed: int = 4) -> DataFrame:
     """docs that are kept, with their probability in column mix_probability.
 
     targets: value and share by margin; topic: a document's topic (its column topic, if it has one, else form_topic); share: the wanted tokens
-    over all tokens (by default as many as possible without a probability above 1).
+    over all tokens (by default as many as the cell that is wanted most allows; one rare cell can make that little).
     """
     if topic is None:
         topic = F.col("topic") if "topic" in docs.columns else form_topic(F.col("text"))
     keys = [_value(F.col("source")).alias("source"), _value(F.col("lang")).alias("lang"), _value(topic).alias("topic")]
     cells = written(docs.select(*keys, token_weight(F.col("text")).alias("t")).groupBy(*MARGINS).agg(F.sum("t").alias("tokens")), "cells")
     targets = {m: (targets or {}).get(m, default_targets(cells, m, temper)) for m in MARGINS}
-    fitted = written(fit(cells, targets), "mix")
-    lift = F.try_divide(F.col("share"), F.col("tokens"))
-    top = fitted.agg(F.max(lift).alias("top"), F.sum("tokens").alias("tokens")).first()
-    wanted = share * top["tokens"] if share is not None and top["tokens"] else (1.0 / top["top"] if top["top"] else 0.0)
+    if share is None:
+        fitted = written(fit(cells, targets), "mix")
+        lift = F.try_divide(F.col("share"), F.col("tokens"))
+        top = fitted.agg(F.max(lift)).first()[0]
+        fitted = fitted.withColumn("probability", F.coalesce(lift, F.lit(0.0)) * (1.0 / top if top else 0.0))
+    else:
+        fitted = written(bounded(cells, targets, share), "mix")
     # Cells without tokens hold empty texts alone: all are kept.
-    cell = fitted.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.coalesce(lift, F.lit(0.0)) * wanted)).otherwise(1.0).alias("mix_probability"))
+    cell = fitted.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("probability"))).otherwise(1.0).alias("mix_probability"))
     placed = docs.withColumn("__draw", unit_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")), seed=seed))
     for m, k in zip(MARGINS, (F.col("source"), F.col("lang"), topic), strict=True):
         placed = placed.withColumn(f"__{m}", _value(k))

@@ -32,7 +32,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = mixing.sample(read_table(spark, sf_dir, "documents"))
+    kept = mixing.sample(read_table(spark, sf_dir, "documents"), share=mixing.KEEP_SHARE)
     return kept.select("doc_id", "source", "lang", mixing.form_topic(F.col("text")).alias("topic"), mixing.token_weight(F.col("text")).alias("n_tokens"), "mix_probability")
 
 

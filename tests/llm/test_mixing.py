@@ -52,6 +52,30 @@ def test_query_meets_the_targets(spark):
     assert {tuple(r) for r in kept.select("doc_id", "text").collect()} == {tuple(r) for r in mixing.sample(docs.repartition(7)).select("doc_id", "text").collect()}
 
 
+def test_bounded_both_ways(spark):
+    """One cell is wanted in twice its tokens: it is kept in whole, a half of all tokens is kept, and the margins are met by the other cells."""
+    cells = {("s0", "l0", "t0"): 10, ("s0", "l1", "t0"): 90, ("s1", "l0", "t0"): 400, ("s1", "l1", "t0"): 500}
+    targets = [{"s0": 0.15, "s1": 0.85}, {"l0": 0.6, "l1": 0.4}, {"t0": 1.0}]
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
+    goals = {m: spark.createDataFrame([*t.items()], "value string, share double") for m, t in zip(mixing.MARGINS, targets)}
+    near, far = ({(r["source"], r["lang"]): r["probability"] for r in mixing.bounded(df, goals, 0.5, limit).collect()} for limit in (mixing.DRIVER_CELLS, 0))
+    assert max(abs(near[k] - far[k]) for k in near) < 1e-6 and near["s0", "l0"] == 1.0 and max(near.values()) <= 1.0
+    kept = {k: near[k[:2]] * v for k, v in cells.items()}
+    assert abs(sum(kept.values()) - 500) < 1e-3
+    assert abs(kept["s0", "l0", "t0"] + kept["s0", "l1", "t0"] - 75) < 0.1 and abs(kept["s0", "l0", "t0"] + kept["s1", "l0", "t0"] - 300) < 0.1
+
+
+def test_a_stray_document_changes_little(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    stray = spark.createDataFrame([(10**9, "word " * 50, "xx", "a source of its own", 250)], docs.schema)
+    docs.unionByName(stray).write.parquet(f"{tmp_path}/b/documents.parquet")
+    a, b = ({r["doc_id"]: r["n_tokens"] for r in queries.op4_mixing(spark, f"{tmp_path}/{x}").collect()} for x in "ab")
+    tokens = docs.agg(F.sum(mixing.token_weight(F.col("text")))).first()[0]
+    assert 10**9 in b and len(a.keys() ^ b.keys()) < 0.02 * docs.count()
+    assert abs(sum(a.values()) / tokens - mixing.KEEP_SHARE) < 0.05 and abs(sum(b.values()) / tokens - mixing.KEEP_SHARE) < 0.05
+
+
 def test_odd_rows(spark):
     docs = documents(spark, ODD).withColumn("lang", F.when(F.col("doc_id") > 4, F.col("lang"))).withColumn("source", F.when(F.col("doc_id") < 4, F.col("source")))
     kept = mixing.sample(crowded(docs))
