@@ -18,21 +18,61 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if all runs on one machine
+    (tests), else an error: executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="pricewren-shared-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pricewren-shared-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+class Written:
+    """Tables of one run in the shared folder: writing cuts the lineage and survives the loss of any executor; what no later step reads is
+    deleted with drop()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, shared_root(spark), {}
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        path = f"{self.root}/{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no plan reads any more."""
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it back."""
+    return Written(df.sparkSession)(df, tag)
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands in an expression, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of df but for those of the given names, in any case of letters: for results that add columns of these names."""
+    gone = {n.lower() for n in names}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -15,7 +15,9 @@ a target, and targets without documents, get nothing and are left out of the sum
 as raking does after STEPS rounds.
 
 Defined results: null source, language or topic are values of their own; null and empty texts have no tokens and are kept with their
-cell's probability; no documents give no rows.
+cell's probability; texts of any length count in whole; rows with the same id and text, nulls included, are kept or left out together; a draw
+that equals the probability leaves the row out; no documents give no rows. Further columns of docs pass through, whatever their names; only
+a column mix_probability gives way to the result's.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import unit_hash, written
+from pricewren.llm.common import fresh, others, unit_hash, written
 
 MARGINS = ("source", "lang", "topic")
 STEPS, TOLERANCE = 60, 1e-9
@@ -185,13 +187,12 @@ def bounded(cells: DataFrame, targets: dict[str, DataFrame], share: float, drive
 def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, share: float | None = None, temper: float = TEMPER, seed: int = 4) -> DataFrame:
     """docs that are kept, with their probability in column mix_probability.
 
-    targets: value and share by margin; topic: a document's topic (its column topic, if it has one, else form_topic); share: the wanted tokens
+    targets: value and share by margin; topic: a document's topic (by default its form, by form_topic); share: the wanted tokens
     over all tokens (by default as many as the cell that is wanted most allows; one rare cell can make that little).
     """
-    if topic is None:
-        topic = F.col("topic") if "topic" in docs.columns else form_topic(F.col("text"))
-    keys = [_value(F.col("source")).alias("source"), _value(F.col("lang")).alias("lang"), _value(topic).alias("topic")]
-    cells = written(docs.select(*keys, token_weight(F.col("text")).alias("t")).groupBy(*MARGINS).agg(F.sum("t").alias("tokens")), "cells")
+    topic = form_topic(F.col("text")) if topic is None else topic
+    keys = dict(zip(MARGINS, (_value(F.col("source")), _value(F.col("lang")), _value(topic)), strict=True))
+    cells = written(docs.select(*[k.alias(m) for m, k in keys.items()], token_weight(F.col("text")).alias("t")).groupBy(*MARGINS).agg(F.sum("t").alias("tokens")), "cells")
     targets = {m: (targets or {}).get(m, default_targets(cells, m, temper)) for m in MARGINS}
     if share is None:
         fitted = written(fit(cells, targets), "mix")
@@ -200,14 +201,14 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic:
         fitted = fitted.withColumn("probability", F.coalesce(lift, F.lit(0.0)) * (1.0 / top if top else 0.0))
     else:
         fitted = written(bounded(cells, targets, share), "mix")
+    of, draw = {m: fresh(docs, f"cell_{m}") for m in MARGINS}, fresh(docs, "draw")
     # Cells without tokens hold empty texts alone: all are kept.
-    cell = fitted.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("probability"))).otherwise(1.0).alias("mix_probability"))
-    placed = docs.withColumn("__draw", unit_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")), seed=seed))
-    for m, k in zip(MARGINS, (F.col("source"), F.col("lang"), topic), strict=True):
-        placed = placed.withColumn(f"__{m}", _value(k))
+    cell = fitted.select(*[F.col(m).alias(of[m]) for m in MARGINS], F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("probability"))).otherwise(1.0).alias("mix_probability"))
+    drawn = unit_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")), seed=seed).alias(draw)
+    placed = docs.select(*others(docs, "mix_probability"), drawn, *[k.alias(of[m]) for m, k in keys.items()])
     small = cells.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS
-    joined = placed.join(F.broadcast(cell) if small else cell, [f"__{m}" for m in MARGINS])  # broadcast only when counted to be small
-    return joined.where(F.col("__draw") < F.col("mix_probability")).select(*docs.columns, "mix_probability")
+    joined = placed.join(F.broadcast(cell) if small else cell, list(of.values()))  # broadcast only when counted to be small
+    return joined.where(F.col(draw) < F.col("mix_probability")).select(*others(docs, "mix_probability"), "mix_probability")
 
 
 def margins(docs: DataFrame, topic: Column | None = None) -> DataFrame:

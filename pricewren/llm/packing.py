@@ -9,7 +9,12 @@ The last open stretch is cut into powers of two, which need no padding. So no se
 The plan is worked out over the histogram, at most `window` numbers, and holds a bounded number of combinations; documents meet it by their
 rank within their length, counted in salted groups, so a length that very many documents share is no hot key.
 
-Defined results: null and empty texts have the end token alone; repeated rows are documents of their own; no documents give no pieces.
+Documents that are cut are tokenized a second time, for the checksums of their pieces; they are found again by 128 bits of hashes of id and
+text, so that two documents would have to share both hashes to be mixed up.
+
+Defined results: null and empty texts have the end token alone; repeated rows are documents of their own, a null doc_id stays null; texts
+of any length are cut into windows; lengths that many documents share are taken in any order; no documents give no pieces. Only doc_id and
+text are read, so other columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
@@ -21,14 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pricewren.llm.common import frugal, written
+from pricewren.llm.common import frugal, shuffle_partitions, written
 from pricewren.llm.tokens import encoder, slices
 
-#: Groups that the documents of one length are counted in.
-SALTS = 64
+#: Least and greatest number of groups that the documents of one length are counted in; in between, one for each shuffle partition.
+SALTS = (64, 1024)
 #: Combinations enumerated for each length, by number of members.
 TRIPLES, QUADRUPLES = 6, 3
 STEPS = 400
@@ -212,26 +216,26 @@ def _encoded(path: str, end_id: int, window: int) -> Callable[[Batches], Iterato
                 part = batch.slice(at, n)
                 ids = [x + end for x in tokens.encode(part.column("text"))]
                 sums = [[zlib.crc32(x[i : i + 4 * window]) for i in range(0, len(x), 4 * window)] for x in ids]  # of the pieces of an uncut document
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["doc_id", "key", "doc_tokens", "sums"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "key", "key2")), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["doc_id", "key", "key2", "doc_tokens", "sums"])
 
     return encode
 
 
 def _pieces(plan, firsts, window: int) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     """Rows: a document's remainder length, salt, rank and the number of whole windows before it in its salted group."""
-    names = ["doc_id", "key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "key", "key2", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    types = [pa.int64()] * len(names)
 
     def pieces(batches: Batches) -> Iterator[pa.RecordBatch]:
         p, (ranks, windows) = plan.value, firsts.value
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, key, tokens, sums, salt, rank, before in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "doc_tokens", "sums", "salt", "rank", "before")), strict=True):
+            for doc_id, key, key2, tokens, sums, salt, rank, before in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "key2", "doc_tokens", "sums", "salt", "rank", "before")), strict=True):
                 full, rest = divmod(tokens, window)
                 first = int(windows[rest, salt]) + before
-                out += [(doc_id, key, i * window, window, sums[i], tokens, first + i, 0) for i in range(full)]
+                out += [(doc_id, key, key2, i * window, window, sums[i], tokens, first + i, 0) for i in range(full)]
                 parts = p.place(rest, int(ranks[rest, salt]) + rank)
-                out += [(doc_id, key, full * window + s, n, sums[full] if len(parts) == 1 else None, tokens, q, o) for s, n, q, o in parts]
+                out += [(doc_id, key, key2, full * window + s, n, sums[full] if len(parts) == 1 else None, tokens, q, o) for s, n, q, o in parts]
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -250,7 +254,7 @@ def _wanted_ids(path: str, end_id: int, wanted) -> Callable[[Batches], Iterator[
             for at, n in slices(wanted_rows.column("text")):
                 part = wanted_rows.slice(at, n)
                 ids = [x + end for x in tokens.encode(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.binary())], names=["key", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("key2"), pa.array(ids, pa.binary())], names=["key", "key2", "ids"])
 
     return encode
 
@@ -265,13 +269,14 @@ def _summed(batches: Batches) -> Iterator[pa.RecordBatch]:
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048) -> DataFrame:
     """A row for each piece of docs(doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset. tokenizer_path is a path on each executor."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(10), "doc_id", "text").alias("key"), "text")
-    sized = rows.mapInArrow(frugal(_encoded(tokenizer_path, end_id, window)), "doc_id long, key long, doc_tokens long, sums array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(10), "doc_id", "text").alias("key"), F.xxhash64(F.lit(11), "text", "doc_id").alias("key2"), "text")
+    sized = rows.mapInArrow(frugal(_encoded(tokenizer_path, end_id, window)), "doc_id long, key long, key2 long, doc_tokens long, sums array<long>")
     sized = written(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
-    rest, salt = (F.col("doc_tokens") % window).cast("int"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    salts = min(max(SALTS[0], shuffle_partitions(spark)), SALTS[1])
+    rest, salt = (F.col("doc_tokens") % window).cast("int"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")
     keyed = sized.withColumn("rest", rest).withColumn("salt", salt).withColumn("full", F.floor(F.col("doc_tokens") / window))
-    groups = keyed.groupBy("rest", "salt").agg(F.count("*").alias("n"), F.sum("full").alias("full")).toArrow()  # at most window * SALTS rows
-    n, full = np.zeros((window, SALTS), dtype=np.int64), np.zeros((window, SALTS), dtype=np.int64)
+    groups = keyed.groupBy("rest", "salt").agg(F.count("*").alias("n"), F.sum("full").alias("full")).toArrow()  # at most window * SALTS[1] rows
+    n, full = np.zeros((window, salts), dtype=np.int64), np.zeros((window, salts), dtype=np.int64)
     at = groups.column("rest").to_numpy(), groups.column("salt").to_numpy()
     n[at], full[at] = groups.column("n").to_numpy(), groups.column("full").to_numpy()
     ranks = np.cumsum(n, axis=1) - n
@@ -280,14 +285,14 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 20
     plan = context.broadcast(Plan(n.sum(axis=1), window, int(full.sum())))
     order = Window.partitionBy("rest", "salt").orderBy("row")
     ranked = keyed.withColumn("rank", F.row_number().over(order) - 1).withColumn("before", F.coalesce(F.sum("full").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    placed = written(ranked.select("doc_id", "key", "doc_tokens", "sums", "salt", "rank", "before").mapInArrow(frugal(_pieces(plan, context.broadcast((ranks, windows)), window)), out), "pieces")
-    uncut, cut = placed.where("ids_crc32 is not null").drop("key"), placed.where("ids_crc32 is null")
+    out = "doc_id long, key long, key2 long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    placed = written(ranked.select("doc_id", "key", "key2", "doc_tokens", "sums", "salt", "rank", "before").mapInArrow(frugal(_pieces(plan, context.broadcast((ranks, windows)), window)), out), "pieces")
+    uncut, cut = placed.where("ids_crc32 is not null").drop("key", "key2"), placed.where("ids_crc32 is null")
     cells = cut.select(F.col("key").bitwiseAND(FILTER_BITS - 1).cast("int").alias("cell")).distinct().toArrow().column("cell").to_numpy()  # at most FILTER_BITS numbers
     if not len(cells):
         return uncut
     bits = np.zeros(FILTER_BITS, dtype=bool)
     bits[cells] = True
-    ids = rows.mapInArrow(frugal(_wanted_ids(tokenizer_path, end_id, context.broadcast(bits))), T.StructType([T.StructField("key", T.LongType()), T.StructField("ids", T.BinaryType())]))
-    ids = ids.join(cut.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("ids").alias("ids"))  # equal keys have equal ids
-    return uncut.unionByName(cut.join(ids, "key").drop("key").mapInArrow(frugal(_summed), uncut.schema))
+    ids = rows.mapInArrow(frugal(_wanted_ids(tokenizer_path, end_id, context.broadcast(bits))), "key long, key2 long, ids binary")
+    ids = ids.join(cut.select("key", "key2").distinct(), ["key", "key2"], "left_semi").groupBy("key", "key2").agg(F.any_value("ids").alias("ids"))  # equal keys have equal ids
+    return uncut.unionByName(cut.join(ids, ["key", "key2"]).drop("key", "key2").mapInArrow(frugal(_summed), uncut.schema))

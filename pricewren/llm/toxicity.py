@@ -10,15 +10,19 @@ and other texts that hold the entry. Training takes at most SAMPLE_ROWS rows of
 counts of all rows. Copies of a text train once.
 
 Defined results: null and empty texts have no entries and get the score of a text without any; without labels of both kinds every score
-is the share of toxic labels (0 without labels).
+is the share of toxic labels (0 without labels). A doc_id with labels of both kinds is toxic, and so is a text that is labelled both ways;
+a score of just 0.5 counts as toxic. Repeated rows are scored each, and train once. Texts are scored in one pass, of any length. No documents
+give no rows. Only doc_id, text and toxic are read; `score` returns columns of its own, `clean` the columns of docs, whatever their names.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +110,12 @@ class Lexicon:
                 excepted.append((start, end))
             elif weight > by_start.get(start, -np.inf):
                 by_start[start] = weight
-        return sum(w for s, w in by_start.items() if not any(a <= s < b for a, b in excepted)), len(words)
+        if excepted:
+            spans = sorted(excepted)
+            starts = [a for a, _ in spans]
+            reach = list(accumulate((b for _, b in spans), max))  # the furthest end of the phrases that start so far
+            by_start = {s: w for s, w in by_start.items() if not (k := bisect_right(starts, s)) or reach[k - 1] <= s}
+        return sum(by_start.values()), len(words)
 
     def score(self, weight: float, words: int) -> float:
         x = self.slope * weight / (words + 1) ** self.power + self.offset
