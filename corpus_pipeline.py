@@ -2,6 +2,9 @@
 are masked, documents are sampled to target weights, and the rest is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir), docs being what its predecessor kept, and all but the last return the columns of documents.
+
+Defined results, for each stage: null ids, texts, sources and languages are values; empty texts pass through all stages; repeated rows are rows of
+their own but for the second stage, where one stays; empty tables stay empty; further columns of docs, of whatever name, are left behind.
 """
 
 from __future__ import annotations
@@ -23,10 +26,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates (five words, similarity of 0.8); rows without an id stay."""
-    groups = jaccard_join.jaccard_groups(docs, words=5, threshold=(4, 5))
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of near duplicates (five words, similarity of 0.8): that of the smallest doc_id, null ids last.
+
+    A row is known by its doc_id and 128 bits of hashes of its text, so where ids repeat or are null, the other texts of an id stay or go on their own,
+    and of rows with the same id and text one stays. Texts without words are in no group and stay.
+    """
+    names = ("key_none", "key_id", "key_hash", "key_more")
+    parts = (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    keyed = docs.select(*COLUMNS, *[p.alias(n) for p, n in zip(parts, names, strict=True)])
+    groups = written(jaccard_join.jaccard_groups(docs, words=5, threshold=(4, 5), key=F.struct(*[p.alias(n) for p, n in zip(parts, names, strict=True)])), "groups")
+    gone = groups.where("component_id <> doc_id").select("doc_id.*").distinct()
+    several = groups.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id.*")
+    left = keyed.join(gone, list(names), "left_anti")
+    if not several.limit(1).count():
+        return left.select(COLUMNS)
+    once = left.join(several, list(names), "left_semi").dropDuplicates(list(names))
+    return left.join(several, list(names), "left_anti").unionByName(once).select(COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
