@@ -25,7 +25,8 @@ def crowded(df):
     """With further columns whose names operators may use themselves."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit("x") for c in ("k", "n", "key", "block", "score", "found", "component", "shingle", "row", "rank", "share", "tokens", "usable")})
+    names = "k n id key key2 block score found base more component component_id shingle row rank share tokens usable mix_probability probability topic draw cell_source cell_topic doc_tokens fingerprint tail sums salt text_ held_out lang_pred"
+    return df.withColumns({c: F.lit("x") for c in (*names.split(), "a.b`c")})
 
 
 def prose(n: int, words: int = 60, seed: int = 1) -> list[str]:

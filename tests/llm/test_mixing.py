@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -20,6 +22,28 @@ def rake(cells: dict, targets: dict, steps: int = 400) -> dict:
     return fitted
 
 
+def kept_by_hand(docs, share):
+    """The ids of the rows that a plain reading of the sampling keeps: cells by counting, probabilities by the driver's fit, draws by their hash."""
+    rows = docs.select("*", mixing.form_topic(F.col("text")).alias("form"), mixing.token_weight(F.col("text")).alias("n_words"), mixing.unit_hash(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")), seed=4).alias("u")).collect()
+    cells, cell = {}, lambda r: (r["source"] or mixing._NULL, r["lang"] or mixing._NULL, r["form"])
+    for r in rows:
+        assert r["n_words"] == len(re.findall(r"[^ \t\n\x0b\f\r]+", r["text"] or ""))
+        cells[cell(r)] = cells.get(cell(r), 0) + r["n_words"]
+    keys = sorted(k for k, v in cells.items() if v)
+    targets = []
+    for m in range(3):
+        t = {x: sum(cells[k] for k in keys if k[m] == x) ** mixing.TEMPER for x in {k[m] for k in keys}}
+        targets.append({x: v / sum(t.values()) for x, v in t.items()})
+    found = mixing.bounded_in_driver([np.array([k[m] for k in keys]) for m in range(3)], np.array([cells[k] for k in keys]), targets, share)
+    chance = dict(zip(keys, found))
+    return sorted(r["doc_id"] for r in rows if r["u"] < chance.get(cell(r), 1.0))
+
+
+def test_query_by_hand(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    assert sorted(r["doc_id"] for r in queries.op4_mixing(spark, SF_DIR).collect()) == kept_by_hand(docs, mixing.KEEP_SHARE)
+
+
 def test_fit_both_ways(spark):
     rng = np.random.default_rng(0)
     cells = {(f"s{a}", f"l{b}", f"t{c}"): int(rng.integers(1, 1000)) for a in range(3) for b in range(2) for c in range(3)}
@@ -80,6 +104,7 @@ def test_odd_rows(spark):
     docs = documents(spark, ODD).withColumn("lang", F.when(F.col("doc_id") > 4, F.col("lang"))).withColumn("source", F.when(F.col("doc_id") < 4, F.col("source")))
     kept = mixing.sample(crowded(docs))
     assert set(kept.columns) == {*crowded(docs).columns, "mix_probability"} and 0 < kept.count() <= len(ODD)
+    assert kept.where("mix_probability <= 0 or topic <> 'x'").count() == 0
     assert mixing.sample(empty(spark)).count() == 0
     assert mixing.sample(documents(spark, [(1, None), (2, "")])).count() == 2
     assert queries.op4_mixing(spark, SF_DIR).where("mix_probability > 1 or mix_probability <= 0").count() == 0
