@@ -5,11 +5,14 @@ after its context is the byte's share of the context's counts (method C: the num
 byte not seen after a context costs the escape and is predicted from the next shorter context, at last from a uniform byte. A text's score
 in a language is its exact code length under that tree; the shortest wins.
 
-Training takes at most SAMPLE_BYTES bytes of whole texts for each language, chosen by a hash of the text: the share to take follows from the
-languages' sizes, which are summed over all rows. Scoring goes over every byte of every text.
+Training takes about SAMPLE_BYTES bytes of whole texts for each language, and ALL_BYTES in all, chosen by a hash of the text: the share to take
+follows from the languages' sizes, which are summed over all rows. Of more than LANGUAGES values of lang, those with most bytes are learned.
+A model holds the contexts that were seen, in tables by language, so its size is bounded by the sample's. Scoring goes over every byte of
+every text.
 
 Defined results: a text that is null or holds no letter is `und` with score 0; ties go to the alphabetically first language; texts without
-a language don't train; without any trained language everything is `und`.
+a language don't train, repeated rows train and are predicted each; without any trained language everything is `und`; no documents give no
+rows. Only doc_id, text and lang are read, so other columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import unit_hash
+from pricewren.llm.common import frugal, unit_hash
 
 ORDER = 3
-#: Bound of the training sample, for each language.
-SAMPLE_BYTES = 4_000_000
+#: Bounds of the training sample, for each language and in all, and of the languages.
+SAMPLE_BYTES, ALL_BYTES, LANGUAGES = 4_000_000, 64_000_000, 200
 UNDETERMINED = "und"
 #: Texts are scored in runs of about so many bytes at a time.
 RUN_BYTES = 1 << 21
@@ -48,95 +51,124 @@ def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
+class Table:
+    """Numbers by 32-bit keys: found by hashing, a whole array of keys at a time; 0 for a key that isn't there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint32(32 - max(1, int(2 * len(keys)).bit_length()))
+        slots = 1 << (32 - int(self.shift))
+        self.keys, self.values, self.used = np.zeros(slots, dtype=np.uint32), np.zeros(slots, dtype=np.float32), np.zeros(slots, dtype=bool)
+        self.steps, at = 0, self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):  # those that find their slot free take it, one for each slot; the others go on to the next
+            self.steps += 1
+            first = np.unique(at, return_index=True)[1]
+            first = first[~self.used[at[first]]]
+            self.keys[at[first]], self.values[at[first]], self.used[at[first]] = keys[left[first]], values[left[first]], True
+            rest = np.ones(len(left), dtype=bool)
+            rest[first] = False
+            left, at = left[rest], (at[rest] + 1) & (slots - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values, and which keys are there."""
+        at = self._slot(keys)
+        there = self.used[at] & (self.keys[at] == keys)
+        out = np.where(there, self.values[at], np.float32(0))
+        left = np.flatnonzero(~there & self.used[at])
+        for _ in range(1, self.steps):
+            if not len(left):
+                break
+            spot = (at[left] + 1) & (len(self.keys) - 1)
+            at[left] = spot
+            hit = self.used[spot] & (self.keys[spot] == keys[left])
+            out[left[hit]], there[left[hit]] = self.values[spot[hit]], True
+            left = left[~hit & self.used[spot]]
+        return out, there
+
+
+class Tree:
+    """The frozen context tree of one language as tables of code lengths in bits: of bytes in full by contexts of up to one byte, of seen bytes and
+    of escapes after contexts of two and three."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        grams = grams.astype(np.uint32)
+        length = np.full((1, 256), 8.0)  # order -1: a uniform byte
+        for order in (0, 1):
+            total = np.bincount((grams & np.uint32((1 << 8 * order + 8) - 1)).astype(np.int64), weights=n, minlength=256 ** (order + 1)).reshape(-1, 256)
+            sums, kinds = total.sum(axis=1, keepdims=True), (total > 0).sum(axis=1, keepdims=True)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(sums > 0, np.log2((sums + kinds) / np.maximum(kinds, 1)), 0.0)
+                length = np.where(total > 0, np.log2((sums + kinds) / total), escape + length)
+        self.low = length.astype(np.float32).ravel()
+        self.seen, self.escape = [], []
+        for order in (2, 3):
+            key, place = np.unique(grams & np.uint32((1 << 8 * order + 8) - 1), return_inverse=True)
+            count = np.bincount(place, weights=n)
+            context, row = np.unique(key >> np.uint32(8), return_inverse=True)
+            sums, kinds = np.bincount(row, weights=count), np.bincount(row)
+            self.seen.append(Table(key, np.log2((sums + kinds)[row] / count)))
+            self.escape.append(Table(context, np.log2((sums + kinds) / kinds)))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """The code length of the last byte of each gram after the three before it."""
+        out, there = self.seen[1].find(grams)
+        left = np.flatnonzero(~there)
+        g = grams[left]
+        shorter, there = self.seen[0].find(g & np.uint32(0xFFFFFF))
+        least = np.flatnonzero(~there)
+        shorter[least] = self.escape[0].find(g[least] >> np.uint32(8) & np.uint32(0xFFFF))[0] + self.low[(g[least] & np.uint32(0xFFFF)).astype(np.int64)]
+        out[left] = self.escape[1].find(g >> np.uint32(8))[0] + shorter
+        return out
+
+
 class LanguageModel:
-    """Frozen context trees of several languages as tables of code lengths in bits, the languages side by side."""
+    """Frozen context trees of several languages. What is shared with executors are the counts; the tables are built once in each process."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counts)
-        used = np.zeros(256, dtype=bool)
-        for grams, _ in counts.values():
-            for shift in (0, 8, 16, 24):
-                used[grams >> shift & 255] = True
-        #: Bytes seen in training get numbers of their own; all others share the last one.
-        self.rank = np.full(256, used.sum(), dtype=np.int64)
-        self.rank[used] = np.arange(used.sum())
-        a = self.size = int(used.sum()) + 1
-        rows = len(self.languages)
-        self.low = np.zeros((a * a * a, rows), dtype=np.float32)  # by two bytes of context and the byte: code length of orders 2 to 0
-        self.escape = np.zeros((a * a * a, rows), dtype=np.float32)  # by three bytes of context
-        keys, values = [], []
-        for j, lang in enumerate(self.languages):
-            grams, n = counts[lang]
-            r = [self.rank[grams >> shift & 255] for shift in (24, 16, 8, 0)]
-            n = n.astype(np.float64)
-            length = np.full(a, 8.0)  # order -1: a uniform byte
-            for order in range(3):
-                context = sum((r[3 - k] * a ** (k - 1) for k in range(1, order + 1)), np.zeros(len(n), dtype=np.int64))
-                total = np.bincount(context * a + r[3], weights=n, minlength=a ** (order + 1)).reshape(-1, a)
-                length = self._mixed(total, length)
-            self.low[:, j] = length.ravel()
-            context = (r[0] * a + r[1]) * a + r[2]
-            sums, kinds = np.bincount(context, weights=n, minlength=a**3), np.bincount(context, minlength=a**3)
-            seen = sums > 0
-            self.escape[seen, j] = np.log2((sums[seen] + kinds[seen]) / kinds[seen])
-            keys.append(context * a + r[3])
-            values.append((np.full(len(n), j), np.log2((sums[context] + kinds[context]) / n)))
-        #: Four-byte grams seen in some language; where a language hasn't seen one, its escape and shorter context.
-        every, place = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        self.high = self.low[every % a**3] + self.escape[every // a]
-        at = 0
-        for j, bits in values:
-            self.high[place[at : at + len(j)], j] = bits
-            at += len(j)
-        #: Position of a gram among `every` by its first three bytes' row and its last byte.
-        contexts = np.unique(every // a)
-        self.row = np.full(a**3, -1, dtype=np.int32)
-        self.row[contexts] = np.arange(len(contexts))
-        self.place = np.full(len(contexts) * a, -1, dtype=np.int32)
-        self.place[self.row[every // a].astype(np.int64) * a + every % a] = np.arange(len(every))
-
-    @staticmethod
-    def _mixed(total: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Code lengths of an order: total by context and byte, shorter those of the order below by a context of one byte less."""
-        a = total.shape[1]
-        contexts = total.shape[0]
-        below = shorter.reshape(-1, a)[np.arange(contexts) % max(1, contexts // a)] if contexts > 1 else shorter.reshape(1, a)
-        sums, kinds = total.sum(axis=1, keepdims=True), (total > 0).sum(axis=1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.log2((sums + kinds) / total)
-            escape = np.where(sums > 0, np.log2((sums + kinds) / np.maximum(kinds, 1)), 0.0)
-        return np.where(total > 0, seen, escape + below)
+        self.counts = {lang: (grams.astype(np.uint32), n.astype(np.uint32)) for lang, (grams, n) in counts.items()}
+        self._trees: list[Tree] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_trees": None}
+
+    @property
+    def trees(self) -> list[Tree]:
+        if self._trees is None:
+            self._trees = [Tree(*self.counts[lang]) for lang in self.languages]
+        return self._trees
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits for each text and language."""
         out = np.zeros((len(texts), len(self.languages)))
-        a = self.size
         start = 0
         while start < len(texts):
             end, size = start, 0
             while end < len(texts) and (end == start or size + len(texts[end]) <= RUN_BYTES):
-                size += len(texts[end]) + ORDER
+                size += len(texts[end])
                 end += 1
-            data = np.frombuffer(b"".join(b"\0\0\0" + t for t in texts[start:end]), dtype=np.uint8)
-            r = self.rank[data]
-            two = r[1:-2] * a + r[2:-1]
-            low = two * a + r[3:]
-            context = r[:-3] * (a * a) + two
-            row = self.row[context]
-            known = row >= 0
-            place = np.full(len(row), -1, dtype=np.int64)
-            place[known] = self.place[row[known].astype(np.int64) * a + r[3:][known]]
-            hit = place >= 0
-            bits = np.empty((len(row), len(self.languages)), dtype=np.float32)
-            bits[hit] = self.high[place[hit]]
-            bits[~hit] = self.low[low[~hit]] + self.escape[context[~hit]]
-            sums = np.vstack([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)])
-            lengths = np.array([len(t) for t in texts[start:end]])
-            firsts = np.cumsum(lengths + ORDER) - (lengths + ORDER)  # of a text's first byte, past its three zero bytes
-            out[start:end] = sums[firsts + lengths] - sums[firsts]
+            for i in range(start, end) if end - start == 1 else ():
+                self._long(texts[i], out[i])
+            if end - start > 1:
+                grams = np.concatenate([_grams(np.frombuffer(t, dtype=np.uint8)) for t in texts[start:end]])
+                of = np.repeat(np.arange(end - start), [len(t) for t in texts[start:end]])
+                for j, tree in enumerate(self.trees):
+                    out[start:end, j] = np.bincount(of, weights=tree.bits(grams), minlength=end - start)
             start = end
         return out
 
+    def _long(self, text: bytes, out: np.ndarray) -> None:
+        """The bits of one text, by runs."""
+        data = np.frombuffer(b"\0\0\0" + text, dtype=np.uint8)
+        for at in range(0, len(text), RUN_BYTES):
+            b = data[at : at + RUN_BYTES + ORDER].astype(np.uint32)
+            grams = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+            for j, tree in enumerate(self.trees):
+                out[j] += tree.bits(grams).sum(dtype=np.float64)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each text and the share of its probability among all languages."""
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -149,15 +181,17 @@ class LanguageModel:
         return names, scores
 
 
-def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, seed: int = 9) -> LanguageModel:
-    """A model of docs(lang, text). What reaches the driver is bounded by sample_bytes for each language."""
+def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, all_bytes: int = ALL_BYTES, seed: int = 9) -> LanguageModel:
+    """A model of docs(lang, text). What reaches the driver are the counts of a sample of about all_bytes bytes at most, and LANGUAGES sums."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    sums = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).where("n > 0").orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in sums.collect()}
     if not sizes:
         return LanguageModel({})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_bytes / max(1, n)))])
-    sample = labelled.where(unit_hash(F.col("text"), seed=seed) < share[F.col("lang")])
-    rows = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    most = min(sample_bytes, all_bytes // len(sizes))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, most / n))])
+    sample = labelled.where(unit_hash(F.col("text"), seed=seed) < F.try_element_at(share, F.col("lang")))
+    rows = sample.mapInArrow(frugal(_count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts = {}
     langs, grams, n = rows.column("lang").to_numpy(zero_copy_only=False), rows.column("gram").to_numpy(), rows.column("n").to_numpy()
     for lang in sorted(set(langs)):
@@ -168,11 +202,11 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, seed: int = 9) -> L
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 8 bytes for each byte of the training sample
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(score), "doc_id long, lang_pred string, score double")

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import math
+import pickle
+
+import numpy as np
 
 from pricewren.llm import language_id, queries
 from tests.llm.making import ODD, crowded, documents, empty
@@ -56,3 +59,29 @@ def test_odd_rows(spark):
     untrained = language_id.train(empty(spark))
     assert {r["lang_pred"] for r in language_id.predict(docs, untrained).collect()} == {"und"}
     assert language_id.predict(empty(spark), untrained).count() == 0
+
+
+def test_model_grows_with_what_is_seen():
+    """Forty languages over all byte values stay small, and a text beyond the size of a run gets the bits of its parts."""
+    rng = np.random.default_rng(3)
+    counts = {f"l{i:02d}": np.unique(rng.integers(0, 1 << 32, 20_000, dtype=np.uint64), return_counts=True) for i in range(40)}
+    model = language_id.LanguageModel(counts)
+    size = sum(t.keys.nbytes + t.values.nbytes + t.used.nbytes for tree in model.trees for t in (*tree.seen, *tree.escape)) + sum(tree.low.nbytes for tree in model.trees)
+    assert size < 200_000_000 and len(pickle.dumps(model)) < 10_000_000
+    text = bytes(rng.integers(0, 256, 3000, dtype=np.uint8))
+    whole = model.code_lengths([text])[0]
+    run, language_id.RUN_BYTES = language_id.RUN_BYTES, 700
+    try:
+        assert np.allclose(model.code_lengths([text])[0], whole, rtol=1e-5)
+        assert np.allclose(model.code_lengths([b"ab", b"", text, b"cd"])[2], whole, rtol=1e-5)
+    finally:
+        language_id.RUN_BYTES = run
+
+
+def test_tables():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 32, 5_000, dtype=np.uint64)).astype(np.uint32)
+    table = language_id.Table(keys[::2], np.arange(len(keys[::2]), dtype=np.float64))
+    values, there = table.find(keys)
+    assert there[::2].all() and not there[1::2].any() and (values[::2] == np.arange(len(keys[::2]))).all() and not values[1::2].any()
+    assert not language_id.Table(keys[:0], np.zeros(0)).find(keys)[1].any()
