@@ -21,11 +21,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = write(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        again = write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        again = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(again, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = write(small.unionByName(again.withColumnRenamed("m", "v")).distinct(), "links")
-        write.drop(edges, least, large, again)
+        write.drop(edges, least)
         state = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("s")).first()
         edges = new
         if state == before:
