@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bounds of what a worker remembers.
-PIECES, WORDS = 600_000, 300_000
+PIECES, WORDS = 200_000, 100_000
 #: Texts are encoded in runs of about so many bytes.
 RUN_BYTES = 3 << 20
 #: Pre-tokenizer patterns whose matches hold no white space.
