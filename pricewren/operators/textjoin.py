@@ -6,20 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricewren.functions.text import normalise_text, one_edit_apart, similarity, tokens
+from pricewren.functions.text import normalise_text, one_edit_apart, similarity, token_weight, tokens
 
 
 def similar_names(names: DataFrame, least: float = 0.6, key: str = "id", name: str = "name") -> DataFrame:
-    """Pairs (a < b) of names whose weighted Jaccard similarity is at least `least` and that share a token with a digit.
+    """Pairs (a < b) of names whose weighted Jaccard similarity is at least `least`.
 
-    Such tokens are what tells articles apart, and rare; the pairs are those that meet at one, so common words never form a group.
+    Names meet at tokens of their prefix: their rarest tokens, until the weight of the others can't make a pair any more. Two names that are similar
+    enough share one of these, so no pair is lost, and common words are met at only by names that have hardly any other.
     """
-    rows = names.select(F.col(key).alias("id"), tokens(normalise_text(F.col(name))).alias("tokens"))
-    at = rows.select("id", "tokens", F.explode(F.filter("tokens", lambda t: t.rlike("[0-9]"))).alias("token"))
-    a, b = at.alias("a"), at.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")))
-    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), similarity(F.col("a.tokens"), F.col("b.tokens")).alias("similarity"))
-    return pairs.where(F.col("similarity") >= least).distinct()
+    rows = names.select(F.col(key).alias("id"), tokens(normalise_text(F.col(name))).alias("tokens")).where(F.size("tokens") > 0)
+    each = rows.select("id", F.explode("tokens").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("names"))
+    ordered = each.join(common, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("names", "token"))).alias("t"), F.sum(token_weight(F.col("token"))).alias("weight"))
+    # A token belongs to the prefix while it and those behind it weigh as much as the least overlap; similarities are rounded to three decimals.
+    need = F.col("weight") * (least - 0.0005) - 1e-9
+    zero = F.struct(F.col("weight").alias("left"), F.array().cast("array<string>").alias("prefix"))
+    step = lambda acc, t: F.struct((acc["left"] - token_weight(t["token"])).alias("left"), F.when(acc["left"] >= need, F.array_append(acc["prefix"], t["token"])).otherwise(acc["prefix"]).alias("prefix"))
+    at = ordered.select("id", F.explode(F.aggregate("t", zero, step, lambda acc: acc["prefix"])).alias("token"))
+    met = at.alias("a").join(at.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    sides = [rows.select(F.col("id").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab"]
+    pairs = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", similarity(F.col("a_tokens"), F.col("b_tokens")).alias("similarity"))
+    return pairs.where(F.col("similarity") >= least)
 
 
 def corrections(words: DataFrame, known: DataFrame, word: str = "word") -> DataFrame:

@@ -33,7 +33,7 @@ def json_props_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_series_gapfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("event_type = 'purchase' and user_id % 50 = 7")
+    rows = events(spark, sf_dir).where("event_type = 'purchase'")
     return series.gap_filled_days(rows, "ts", {"n": F.count("*"), "total": exact_sum(F.col("value"))})
 
 
@@ -130,7 +130,7 @@ ORACLES = {
 SELECT host, count(*) AS checks, count(*) FILTER (WHERE event_type = 'error') AS failures, first(props ORDER BY ts DESC, event_id DESC) FILTER (WHERE event_type = 'error') AS latest_error
 FROM events JOIN p ON page_id = user_id GROUP BY host HAVING count(*) FILTER (WHERE event_type = 'error') > 0 ORDER BY failures DESC, host LIMIT 50""",
     "json_props_projection": "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, (props ->> '$.missing') IS NULL AS no_other FROM events WHERE CAST(props ->> '$.k' AS BIGINT) >= 90",
-    "daily_series_gapfilled": f"""WITH d AS (SELECT date_trunc('day', ts) AS day, count(*) AS n, {_dsum("value")} AS total FROM events WHERE event_type = 'purchase' AND user_id % 50 = 7 GROUP BY 1),
+    "daily_series_gapfilled": f"""WITH d AS (SELECT date_trunc('day', ts) AS day, count(*) AS n, {_dsum("value")} AS total FROM events WHERE event_type = 'purchase' GROUP BY 1),
 s AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM d)
 SELECT strftime(s.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM s LEFT JOIN d ON d.day = s.day""",
     "daily_received_processed": f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS received, count(*) FILTER (WHERE event_type <> 'error') AS processed,

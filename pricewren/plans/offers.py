@@ -73,18 +73,18 @@ def offer_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("line_id")).agg(F.sum("l_quantity").alias("quantity"))
+    """Lines dealt by order, so that what is grouped by order and something else needs no further shuffle."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("line_id"), "l_quantity").repartition("order_id").groupBy("order_id", "line_id").agg(F.sum("l_quantity").alias("quantity"))
 
 
-def order_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each line of an order, the listings of its part at their real cost."""
+def part_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings of each part at their real cost."""
     costs = offers.effective_cost(listing_offers(spark, sf_dir), rates=RATES).where("effective is not null")
-    prices = costs.select(F.col("product_id").alias("line_id"), "supplier_id", F.col("effective").alias("unit_price"))
-    return order_lines(spark, sf_dir).select("order_id", "line_id").join(prices, "line_id")
+    return costs.select(F.col("product_id").alias("line_id"), "supplier_id", F.col("effective").alias("unit_price"))
 
 
 def _basket(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return order_lines(spark, sf_dir), order_offers(spark, sf_dir), tables.supplier_terms(spark, sf_dir)
+    return order_lines(spark, sf_dir), part_prices(spark, sf_dir), tables.supplier_terms(spark, sf_dir)
 
 
 def basket_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def basket_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basket_best_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basket.best_sets(*_basket(spark, sf_dir), shortlist=4)
+    return basket.best_sets(*_basket(spark, sf_dir))
 
 
 def basket_optimal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,19 +160,51 @@ goods AS (SELECT order_id, p.supplier_id, count(*) AS covered, {_dsum("line_tota
 cover AS (SELECT x.*, {_OVER} AS total, lines - covered AS missing FROM ({overheads_sql("goods")}) AS x JOIN wanted USING (order_id))"""
 
 
-def sets_sql(most: int, shortlist: int) -> str:
-    return f"""WITH {_LINES_SQL},
-solo AS (SELECT order_id, supplier_id, count(*) AS covered, {_dsum("line_total")} AS goods FROM priced GROUP BY 1, 2),
-short AS (SELECT order_id, supplier_id, row_number() OVER (PARTITION BY order_id ORDER BY covered DESC, goods, supplier_id) - 1 AS place FROM solo),
-m AS (SELECT CAST(mask AS INTEGER) AS mask FROM range(1, {1 << shortlist}) AS r(mask) WHERE bit_count(CAST(mask AS INTEGER)) <= {most}),
-cand AS (SELECT p.order_id, line_id, p.supplier_id, unit_price, line_total, place FROM priced AS p JOIN short AS s ON s.order_id = p.order_id AND s.supplier_id = p.supplier_id WHERE place < {shortlist}),
-picked AS (SELECT order_id, line_id, mask, arg_min(supplier_id, (unit_price, supplier_id)) AS supplier_id, arg_min(line_total, (unit_price, supplier_id)) AS line_total
-  FROM cand JOIN m ON (mask >> CAST(place AS INTEGER)) & 1 = 1 GROUP BY 1, 2, 3),
-goods AS (SELECT order_id, mask, supplier_id, count(*) AS n, {_dsum("line_total")} AS goods_total FROM picked GROUP BY 1, 2, 3),
+_EVALUATED_SQL = f"""
+picked AS (SELECT s.order_id, s.members, line_id, arg_min(p.supplier_id, (unit_price, p.supplier_id)) AS supplier_id, arg_min(line_total, (unit_price, p.supplier_id)) AS line_total
+  FROM sets AS s JOIN priced AS p ON p.order_id = s.order_id AND list_contains(s.members, p.supplier_id) GROUP BY 1, 2, 3),
+goods AS (SELECT order_id, members, supplier_id, count(*) AS n, {_dsum("line_total")} AS goods_total FROM picked GROUP BY 1, 2, 3),
 g2 AS (SELECT g.*, {_T} FROM goods AS g JOIN terms AS t ON t.supplier_id = g.supplier_id),
-plans AS (SELECT order_id, mask, sum(n) AS n, count(*) AS suppliers, {_dsum(_OVER)} AS total, bool_and(meets_minimum) AS viable FROM ({overheads_sql("g2")}) AS x GROUP BY 1, 2),
-f AS (SELECT p.*, row_number() OVER (PARTITION BY p.order_id ORDER BY total, suppliers, mask) AS nth, count(*) OVER (PARTITION BY p.order_id) AS feasible FROM plans AS p JOIN wanted AS w ON w.order_id = p.order_id WHERE viable AND n = lines)
-SELECT order_id, CAST(mask AS BIGINT) AS mask, suppliers, total, feasible FROM f WHERE nth = 1"""
+plans AS (SELECT order_id, members, sum(n) AS n, list_sort(list(supplier_id)) AS used, {_dsum(_OVER)} AS total, bool_and(meets_minimum) AS viable FROM ({overheads_sql("g2")}) AS x GROUP BY 1, 2),
+f AS (SELECT p.*, row_number() OVER (PARTITION BY p.order_id ORDER BY total, len(used), used) AS nth FROM plans AS p JOIN wanted AS w ON w.order_id = p.order_id WHERE viable AND n = lines)
+SELECT order_id, array_to_string(used, ',') AS suppliers, len(used) AS n_suppliers, total FROM f WHERE nth = 1"""
+
+#: All pairs of an order's suppliers that cover its lines.
+PAIRS_SQL = f"""WITH {_LINES_SQL},
+numbered AS (SELECT order_id, line_id, row_number() OVER (PARTITION BY order_id ORDER BY line_id) - 1 AS i FROM lines),
+masks AS (SELECT p.order_id, p.supplier_id, bit_or(CAST(1 AS BIGINT) << i) AS m, any_value(w.lines) AS lines FROM priced AS p JOIN numbered AS n ON n.order_id = p.order_id AND n.line_id = p.line_id
+  JOIN wanted AS w ON w.order_id = p.order_id GROUP BY 1, 2),
+sets AS (SELECT order_id, [supplier_id] AS members FROM masks WHERE m = (CAST(1 AS BIGINT) << lines) - 1
+  UNION ALL SELECT a.order_id, [a.supplier_id, b.supplier_id] FROM masks AS a JOIN masks AS b ON b.order_id = a.order_id AND b.supplier_id > a.supplier_id WHERE (a.m | b.m) = (CAST(1 AS BIGINT) << a.lines) - 1 AND a.lines > 1),
+{_EVALUATED_SQL}"""
+
+
+
+def _assigned_sql(name: str, condition: str) -> str:
+    """What the choice of each line's cheapest offer under a condition costs."""
+    return f"""
+{name}_c AS (SELECT order_id, line_id, arg_min(supplier_id, (unit_price, supplier_id)) AS supplier_id, arg_min(line_total, (unit_price, supplier_id)) AS line_total FROM able_offers WHERE {condition} GROUP BY 1, 2),
+{name}_g AS (SELECT order_id, c.supplier_id, count(*) AS n, {_dsum("line_total")} AS goods_total, any_value(t.shipping_cost) AS shipping_cost, any_value(t.free_shipping_over) AS free_shipping_over,
+  any_value(t.handling_fee) AS handling_fee, any_value(t.min_order_value) AS min_order_value FROM {name}_c AS c JOIN terms AS t ON t.supplier_id = c.supplier_id GROUP BY 1, 2),
+{name} AS (SELECT x.order_id, {_dsum(_OVER)} AS total FROM ({overheads_sql(f"{name}_g")}) AS x JOIN wanted AS w ON w.order_id = x.order_id GROUP BY 1 HAVING bool_and(meets_minimum) AND sum(n) = any_value(lines))"""
+
+
+#: All sets of an order's suppliers, grown line by line, that may cost no more than a set that is known; of at most four where none is.
+SETS_SQL = f"""WITH RECURSIVE {_LINES_SQL.replace("priced AS (", "every AS (", 1)},
+whole AS (SELECT order_id, p.supplier_id, count(*) AS covered, {_dsum("line_total")} AS goods_total, any_value(t.shipping_cost) AS shipping_cost, any_value(t.free_shipping_over) AS free_shipping_over,
+  any_value(t.handling_fee) AS handling_fee, any_value(t.min_order_value) AS min_order_value FROM every AS p JOIN terms AS t ON t.supplier_id = p.supplier_id GROUP BY 1, 2),
+able AS (SELECT x.*, {_OVER} AS total FROM ({overheads_sql("whole")}) AS x WHERE meets_minimum),
+able_offers AS MATERIALIZED (SELECT e.*, a.min_order_value FROM every AS e JOIN able AS a ON a.order_id = e.order_id AND a.supplier_id = e.supplier_id),{_assigned_sql("spread", "true")},{_assigned_sql("safe", "line_total >= min_order_value")},
+known AS (SELECT order_id, min(total) AS known FROM (SELECT * FROM spread UNION ALL SELECT * FROM safe UNION ALL SELECT a.order_id, total FROM able AS a JOIN wanted AS w ON w.order_id = a.order_id WHERE covered = lines) AS k GROUP BY 1),
+least AS (SELECT order_id, line_id, min(line_total) AS least FROM able_offers GROUP BY 1, 2),
+spare AS (SELECT l.order_id, any_value(known) - {_dsum("least")} + CAST(0.005 AS DOUBLE) AS spare FROM least AS l LEFT JOIN known AS k ON k.order_id = l.order_id GROUP BY 1),
+priced AS MATERIALIZED (SELECT e.order_id, e.line_id, supplier_id, unit_price, line_total, spare IS NULL AS open, dense_rank() OVER (PARTITION BY e.order_id ORDER BY e.line_id) AS i
+  FROM able_offers AS e JOIN least AS l ON l.order_id = e.order_id AND l.line_id = e.line_id JOIN spare AS s ON s.order_id = e.order_id WHERE spare IS NULL OR line_total - least <= spare),
+grown AS (SELECT DISTINCT order_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS members FROM priced
+  UNION SELECT g.order_id, p.i, CASE WHEN list_contains(g.members, p.supplier_id) THEN g.members ELSE list_sort(list_append(g.members, p.supplier_id)) END
+  FROM grown AS g JOIN priced AS p ON p.order_id = g.order_id AND p.i = g.i + 1 WHERE list_contains(g.members, p.supplier_id) OR NOT open OR len(g.members) < 4),
+sets AS (SELECT g.order_id, members FROM grown AS g JOIN wanted AS w ON w.order_id = g.order_id AND g.i = w.lines),
+{_EVALUATED_SQL}"""
 
 
 ORACLES = {
@@ -215,6 +247,6 @@ SELECT order_id, supplier_id, total FROM x WHERE nth = 1""",
 g AS (SELECT order_id, supplier_id, count(*) AS n, {_dsum("line_total")} AS goods_total FROM b WHERE nth = 1 GROUP BY 1, 2), g2 AS (SELECT g.*, {_T} FROM g JOIN terms AS t ON t.supplier_id = g.supplier_id)
 SELECT x.order_id, count(*) AS suppliers, CAST(any_value(lines) - sum(n) AS BIGINT) AS missing, {_dsum("goods_total")} AS goods, {_dsum(_OVER)} AS total, bool_and(meets_minimum) AS viable
 FROM ({overheads_sql("g2")}) AS x JOIN wanted AS w ON w.order_id = x.order_id GROUP BY 1""",
-    "basket_pairwise": sets_sql(2, 6),
-    "basket_best_set": sets_sql(4, 4),
+    "basket_pairwise": PAIRS_SQL,
+    "basket_best_set": SETS_SQL,
 }

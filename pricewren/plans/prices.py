@@ -57,9 +57,10 @@ def portfolio_listing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third page of one product's history, newest first."""
-    rows = tables.price_history(spark, sf_dir).where("product_id = 7")
-    return rows.orderBy(*[F.desc(c) for c in series.SERIES_ORDER]).offset(4).limit(20).select("product_id", "competitor_id", "price", "recorded_at")
+    """A page of each product's history, newest first: 20 rows behind the first 4, with their place and the product's number of rows."""
+    newest = Window.partitionBy("product_id").orderBy(*[F.desc(c) for c in series.SERIES_ORDER])
+    rows = tables.price_history(spark, sf_dir).withColumn("place", F.row_number().over(newest).cast("long")).withColumn("total", F.count("*").over(Window.partitionBy("product_id")))
+    return rows.where(F.col("place").between(5, 24)).select("product_id", "place", "total", "competitor_id", "price", "recorded_at")
 
 
 def due_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +184,9 @@ FROM x""",
 SELECT product_id, p_name AS name, price, {sql_money("change_pct")} AS change_pct, recorded_at FROM top JOIN part ON p_partkey = product_id""",
     "portfolio_listing_counts": f"""WITH {LISTINGS_SQL}, {tables.TERMS_SQL}
 SELECT count(*) AS listings, count(DISTINCT host) AS retailers, count(DISTINCT product_id) AS products FROM listings JOIN terms ON supplier_id = competitor_id""",
-    "price_history_page": f"""WITH {HISTORY_SQL} SELECT product_id, competitor_id, price, recorded_at FROM history WHERE product_id = 7
-ORDER BY recorded_at DESC, competitor_id DESC, order_id DESC, line_no DESC, price DESC LIMIT 20 OFFSET 4""",
+    "price_history_page": f"""WITH {HISTORY_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY recorded_at DESC, competitor_id DESC, order_id DESC, line_no DESC, price DESC) AS place,
+  count(*) OVER (PARTITION BY product_id) AS total FROM history)
+SELECT product_id, place, total, competitor_id, price, recorded_at FROM x WHERE place BETWEEN 5 AND 24""",
     "due_listings": f"""WITH {LISTINGS_SQL} SELECT product_id, competitor_id, updated_at, p_size * 8 * 1440 AS interval_minutes FROM listings JOIN part ON p_partkey = product_id
 WHERE updated_at IS NULL OR updated_at < TIMESTAMP '{NOW}' - to_minutes(CAST(p_size * 8 * 1440 AS BIGINT)) ORDER BY updated_at NULLS FIRST, product_id, competitor_id LIMIT 25""",
     "stale_listings": f"""WITH {LISTINGS_SQL}, late AS (SELECT * FROM listings WHERE updated_at IS NULL OR updated_at < TIMESTAMP '{NOW}' - INTERVAL 365 DAY

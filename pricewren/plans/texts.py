@@ -193,8 +193,7 @@ ORACLES = {
     "canonical_id": "SELECT p_partkey, regexp_replace(lower(p_brand || p_name), '[^a-z0-9]', '', 'g') AS code FROM part",
     "sha_fingerprint": "SELECT p_partkey, sha256(p_name || '|' || p_brand || '|v1') AS fingerprint FROM part",
     "similarity_join": f"""WITH n AS (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part), t AS (SELECT name, {sql_tokens(sql_normal('name'))} AS t FROM n),
-p AS (SELECT a.name AS a, b.name AS b, list_intersect(a.t, b.t) AS i, list_distinct(list_concat(a.t, b.t)) AS u FROM t AS a JOIN t AS b ON a.name < b.name
-  WHERE list_has_any(list_filter(a.t, lambda x: regexp_matches(x, '[0-9]')), b.t)),
+p AS (SELECT a.name AS a, b.name AS b, list_intersect(a.t, b.t) AS i, list_distinct(list_concat(a.t, b.t)) AS u FROM t AS a JOIN t AS b ON a.name < b.name),
 s AS (SELECT a, b, CAST(floor(coalesce({_W.format('i')}, 0) / {_W.format('u')} * 1000 + CAST(0.5 AS DOUBLE)) AS DOUBLE) / 1000 AS similarity FROM p)
 SELECT * FROM s WHERE similarity >= 0.6""",
     "contains_all_tokens": "SELECT p_name, count(*) AS n, p_name LIKE '%red%' AND p_name LIKE '%ring%' AS found FROM part GROUP BY p_name",
