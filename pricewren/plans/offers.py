@@ -106,7 +106,7 @@ def basket_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basket_best_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return basket.best_sets(*_basket(spark, sf_dir))
+    return basket.cheapest_sets(*_basket(spark, sf_dir))
 
 
 def basket_optimal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,33 +180,6 @@ sets AS (SELECT order_id, [supplier_id] AS members FROM masks WHERE m = (CAST(1
 
 
 
-def _assigned_sql(name: str, condition: str) -> str:
-    """What the choice of each line's cheapest offer under a condition costs."""
-    return f"""
-{name}_c AS (SELECT order_id, line_id, arg_min(supplier_id, (unit_price, supplier_id)) AS supplier_id, arg_min(line_total, (unit_price, supplier_id)) AS line_total FROM able_offers WHERE {condition} GROUP BY 1, 2),
-{name}_g AS (SELECT order_id, c.supplier_id, count(*) AS n, {_dsum("line_total")} AS goods_total, any_value(t.shipping_cost) AS shipping_cost, any_value(t.free_shipping_over) AS free_shipping_over,
-  any_value(t.handling_fee) AS handling_fee, any_value(t.min_order_value) AS min_order_value FROM {name}_c AS c JOIN terms AS t ON t.supplier_id = c.supplier_id GROUP BY 1, 2),
-{name} AS (SELECT x.order_id, {_dsum(_OVER)} AS total FROM ({overheads_sql(f"{name}_g")}) AS x JOIN wanted AS w ON w.order_id = x.order_id GROUP BY 1 HAVING bool_and(meets_minimum) AND sum(n) = any_value(lines))"""
-
-
-#: All sets of an order's suppliers, grown line by line, that may cost no more than a set that is known; of at most four where none is.
-SETS_SQL = f"""WITH RECURSIVE {_LINES_SQL.replace("priced AS (", "every AS (", 1)},
-whole AS (SELECT order_id, p.supplier_id, count(*) AS covered, {_dsum("line_total")} AS goods_total, any_value(t.shipping_cost) AS shipping_cost, any_value(t.free_shipping_over) AS free_shipping_over,
-  any_value(t.handling_fee) AS handling_fee, any_value(t.min_order_value) AS min_order_value FROM every AS p JOIN terms AS t ON t.supplier_id = p.supplier_id GROUP BY 1, 2),
-able AS (SELECT x.*, {_OVER} AS total FROM ({overheads_sql("whole")}) AS x WHERE meets_minimum),
-able_offers AS MATERIALIZED (SELECT e.*, a.min_order_value FROM every AS e JOIN able AS a ON a.order_id = e.order_id AND a.supplier_id = e.supplier_id),{_assigned_sql("spread", "true")},{_assigned_sql("safe", "line_total >= min_order_value")},
-known AS (SELECT order_id, min(total) AS known FROM (SELECT * FROM spread UNION ALL SELECT * FROM safe UNION ALL SELECT a.order_id, total FROM able AS a JOIN wanted AS w ON w.order_id = a.order_id WHERE covered = lines) AS k GROUP BY 1),
-least AS (SELECT order_id, line_id, min(line_total) AS least FROM able_offers GROUP BY 1, 2),
-spare AS (SELECT l.order_id, any_value(known) - {_dsum("least")} + CAST(0.005 AS DOUBLE) AS spare FROM least AS l LEFT JOIN known AS k ON k.order_id = l.order_id GROUP BY 1),
-priced AS MATERIALIZED (SELECT e.order_id, e.line_id, supplier_id, unit_price, line_total, spare IS NULL AS open, dense_rank() OVER (PARTITION BY e.order_id ORDER BY e.line_id) AS i
-  FROM able_offers AS e JOIN least AS l ON l.order_id = e.order_id AND l.line_id = e.line_id JOIN spare AS s ON s.order_id = e.order_id WHERE spare IS NULL OR line_total - least <= spare),
-grown AS (SELECT DISTINCT order_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS members FROM priced
-  UNION SELECT g.order_id, p.i, CASE WHEN list_contains(g.members, p.supplier_id) THEN g.members ELSE list_sort(list_append(g.members, p.supplier_id)) END
-  FROM grown AS g JOIN priced AS p ON p.order_id = g.order_id AND p.i = g.i + 1 WHERE list_contains(g.members, p.supplier_id) OR NOT open OR len(g.members) < 4),
-sets AS (SELECT g.order_id, members FROM grown AS g JOIN wanted AS w ON w.order_id = g.order_id AND g.i = w.lines),
-{_EVALUATED_SQL}"""
-
-
 ORACLES = {
     "effective_line_cost": f"""WITH {_OFFERS_SQL}, {costs_sql("offers", False)}
 SELECT product_id, supplier_id, discounted, net, effective, line_total, certainty AS vat_certainty, concat_ws(',', CASE WHEN vat_state = 'unknown' THEN 'vat_unknown' END, {_WARN}) AS warnings FROM costs""",
@@ -248,5 +221,4 @@ g AS (SELECT order_id, supplier_id, count(*) AS n, {_dsum("line_total")} AS good
 SELECT x.order_id, count(*) AS suppliers, CAST(any_value(lines) - sum(n) AS BIGINT) AS missing, {_dsum("goods_total")} AS goods, {_dsum(_OVER)} AS total, bool_and(meets_minimum) AS viable
 FROM ({overheads_sql("g2")}) AS x JOIN wanted AS w ON w.order_id = x.order_id GROUP BY 1""",
     "basket_pairwise": PAIRS_SQL,
-    "basket_best_set": SETS_SQL,
 }
