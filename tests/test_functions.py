@@ -18,11 +18,11 @@ def values(spark, function, xs, kind="string"):
 
 
 def test_amounts(spark):
-    web = {"428.00лв.": 428.0, "1 299,00 лв.": 1299.0, "1.299,00 €": 1299.0, "1,299.00 USD": 1299.0, "€289.99": 289.99, "289,99": 289.99, "1.299": 1299.0, "1.234.567,89": 1234567.89, "99": 99.0, "": None, "няма цена": None, "лв.": None, "0": None, "-": None}
+    web = {"само 57,30 лв./бр.": 57.3, "2 040,50 лв": 2040.5, "EUR 3.480,05": 3480.05, "7,015.20 $": 7015.2, "от €61.07": 61.07, "от 61,07": 61.07, "8.400": 8400.0, "5.670.123,40": 5670123.4, "42": 42.0, "": None, "попитайте": None, "0,00": None, "...": None, "12.5": 12.5}
     assert values(spark, amounts.parse_amount_web, web) == [*web.values()]
-    lists = {"1,42": 1.42, "1 234,56": 1234.56, "1.234,56": 1234.56, "1,234.56": 1234.56, "1.234": 1234.0, "1,42 лв": 1.42, "€ 3,20": 3.2, "0": 0.0, "": None, "н/а": None, "по запитване": None, "abc": None, "-": None}
+    lists = {"7,05": 7.05, "3 071,40": 3071.4, "3.071,40": 3071.4, "3,071.40": 3071.4, "6.500": 6500.0, "7,05 лв.": 7.05, "€ 11,60": 11.6, "0": 0.0, "": None, "няма": None, "цена по договаряне": None, "-3": None}
     assert values(spark, amounts.parse_amount_list, lists) == [*lists.values()]
-    signs = {"428.00 лв.": "BGN", "€289.99": "EUR", "$1,299.00": "USD", "1299 EUR": "EUR", "£99": "GBP", "428.00": None}
+    signs = {"57,30 лв.": "BGN", "от €61.07": "EUR", "$7,015.20": "USD", "3480 EUR": "EUR", "£12": "GBP", "42": None, "15 lei": "RON"}
     assert values(spark, amounts.detect_currency, signs) == [*signs.values()]
 
 
@@ -36,18 +36,26 @@ def test_money(spark):
 
 def test_requests(spark):
     cases = {
-        "СВТ 3x2.5, 100": [("СВТ 3x2.5", 100.0, None)], "кабел СВТ 3х2.5, 100м": [("кабел СВТ 3х2.5", 100.0, "м")], "LED лампа 9W 10 бр.": [("LED лампа 9W", 10.0, "бр")],
-        "10 x LED лампа 9W": [("LED лампа 9W", 10.0, None)], "LED лампа 9W": [("LED лампа 9W", 1.0, None)], "кабел 100м": [("кабел 100м", 1.0, None)], "a, 2; b, 3": [("a", 2.0, None), ("b", 3.0, None)], " ; ": [],
+        "NYM 5x4, 30": [("NYM 5x4", 30.0, None)], "проводник NYM 5х4, 75м": [("проводник NYM 5х4", 75.0, "м")], "ключ двоен 6 бр.": [("ключ двоен", 6.0, "бр")],
+        "4 x ключ двоен": [("ключ двоен", 4.0, None)], "ключ двоен 16A": [("ключ двоен 16A", 1.0, None)], "aa, 2; bb, 3; c, 4": [("aa", 2.0, None), ("bb", 3.0, None)], " ; ": [], "dd, 0": [],
+        "\n".join(["x"] * 60 + ["late, 5"]): [],
     }
     assert [[tuple(r) for r in x] for x in values(spark, requests.request_lines, cases)] == [*cases.values()]
-    said = {"Неналичен": False, "stoc epuizat": False, "In stock": True, "disponibil": True, "Наличност": None, "in stock, out of stock": False}
-    assert values(spark, requests.availability, said) == [*said.values()]
-    plans = {"Купи с TBI Bank на 12 вноски по 8.76 €": [(12, 8.76, "EUR")], "на 24 вноски по 19,50 лв.": [(24, 19.5, "BGN")], "12 x 9.31 €": [(12, 9.31, "EUR")], "120 x 2.00 €": []}
+    said = {
+        "Продуктът е изчерпан": False, "produs indisponibil": False, "Ships today, in stock": True, "Produs disponibil": True, "Виж наличност": None, "in stock elsewhere, here out of stock": False,
+        "не е наличен": False, "nu este în stoc": False, "unavailable": False, "discontinued": False, "not available": False, "Not in stock": False, "δεν είναι διαθέσιμο": False, "διαθέσιμο": True,
+        "наличност: 0": False, "наличност: 14": None, "Наличен": True, "available": None, "available now": True, "инстокови": None, "stocked in Stockholm": None, "": None, None: None,
+    }
+    assert dict(zip(said, values(spark, requests.availability, said))) == said
+    plans = {
+        "Финансиране от Klarna: 6 вноски по 31,40 лв.": [(6, 31.4, "BGN", "Klarna")], "или 36 x 7 €": [(36, 7.0, "EUR", None)], "61 x 7 €": [], "1 x 7 €": [], "15.25 €/месец за 18 месеца": [(18, 15.25, "EUR", None)],
+        "24 x 4.10 € и 10 x 9.05 €": [(10, 9.05, "EUR", None), (24, 4.1, "EUR", None)], "10 x 9.05 €. " + "." * 130 + " Paysera 10 x 9.05 €": [(10, 9.05, "EUR", "Paysera")], "номер 112 x 7.00 €": [],
+    }
     assert [[tuple(r) for r in x] for x in values(spark, requests.instalments, plans)] == [*plans.values()]
 
 
 def test_groups(spark):
-    labels = {"КАБЕЛ H05V-K 1x1.5 ЧЕРЕН": "КАБЕЛ H05V-K 1X1.5", "МАКАРА КАБЕЛНА 25м": "МАКАРА", "КАБЕЛ 3x2.5MM2": "КАБЕЛ 3X2.5MM2", "ЛАМПА (LB-A55-7W) 7W": "ЛАМПА LB-A55-7W", "": "", None: ""}
+    labels = {"ПРОВОДНИК NYY-J 5х16 СИВ": "ПРОВОДНИК 5Х16", "РОЛКА ГУМЕНА 40м": "РОЛКА", "Cable 4x6mm2 grey": "CABLE 4X6MM2", "Крушка (GU-B60-9W) 9W": "КРУШКА GU-B60-9W", "ДРОСЕЛ ДРОСЕЛ7X": "ДРОСЕЛ", "": "", " ": "", None: ""}
     assert values(spark, text.group_label, labels) == [*labels.values()]
 
 
@@ -71,20 +79,20 @@ def test_units(spark):
 @pytest.mark.parametrize(
     ("query", "candidate", "relation", "least", "blocked"),
     [
-        ("Philips LED 12W E27 5410288888880", "CorePro крушка 5410288888880", "same_product", 1.0, False),
-        ("кабел H05V-K 1x1.5", "Кабел H05V-K черен", "same_product", 0.95, False),
-        ("Philips LED 12W E27 4000K", "PHILIPS LED BULB 12W E27 4000K", "same_product", 0.9, False),
-        ("iPhone 15 128GB", "iPhone 15 256GB", "conflict", 0.0, True),
-        ('Samsung TV 55" 4K', 'Samsung TV 65" 4K', "conflict", 0.0, True),
-        ("КАБЕЛ СВТ 3x1.5", "КАБЕЛ СВТ 5x4", "conflict", 0.0, True),
-        ("Philips LED 12W E27", "Osram LED 12W E27", "conflict", 0.0, True),
-        ("Philips LED 12W E27 4000K", "Philips CorePro LED 12W 840 E27", None, 0.4, False),
+        ("Ledvance spot 5W GU10 4006381333931", "спот 4006381333931", "same_product", 1.0, False),
+        ("контактор LC1D09M7 230V", "Контактор LC1D09M7 черен", "same_product", 0.95, False),
+        ("Ledvance LED 7W E14 2700K", "LEDVANCE LED CANDLE 7W E14 2700K", "same_product", 0.9, False),
+        ("SSD 500GB", "SSD 250GB", "conflict", 0.0, True),
+        ('монитор LG 24" IPS', 'монитор LG 32" IPS', "conflict", 0.0, True),
+        ("ПРОВОДНИК ПВА 4x6", "ПРОВОДНИК ПВА 3x10", "conflict", 0.0, True),
+        ("Ledvance LED 7W E14", "Vivalux LED 7W E14", "conflict", 0.0, True),
+        ("Ledvance LED 7W E14 2700K", "Ledvance Value LED 7W 827 E14", None, 0.4, False),
     ],
 )
 def test_matching(spark, query, candidate, relation, least, blocked):
     row = spark.createDataFrame([(query, candidate)], "q string, c string")
-    row = matching.interpret(row, "q", ("philips", "osram", "samsung", "lenovo"), "q_")
-    (r,) = matching.scored(matching.relate(matching.interpret(row, "c", ("philips", "osram", "samsung", "lenovo"), "c_"))).collect()
+    row = matching.interpret(row, "q", ("ledvance", "vivalux", "lg", "schneider"), "q_")
+    (r,) = matching.scored(matching.relate(matching.interpret(row, "c", ("ledvance", "vivalux", "lg", "schneider"), "c_"))).collect()
     assert (relation is None or r["relation"] == relation) and r["confidence"] >= least and r["blocked"] == blocked, r
     assert r["score"] == 0 if blocked else r["score"] > 0
 
