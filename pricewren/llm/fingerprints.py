@@ -4,7 +4,8 @@ Every window of five bytes gives three triplets; each is hashed into one of 256
 its count falls in (two bits), and in front the length of the text on a logarithmic scale and the ratios of the quartiles.
 
 Defined results: null text counts as empty; a text of under five bytes has no triplets and differs by its length alone; equal texts have
-equal digests; comparing a digest with itself gives 1.
+equal digests; comparing a digest with itself gives 1; repeated rows follow each other; texts of any length are digested in whole; no documents
+give no rows. Only doc_id and text are read, so other columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewren.llm.common import shuffle_partitions
@@ -75,16 +76,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(1 - (difference + header) / UNLIKE, 0.0, 1.0)
 
 
-def fingerprint(text: Column) -> Column:
-    """Digest of a text column, as hex text."""
-
-    @F.pandas_udf("string")
-    def of(texts):
-        return texts.map(lambda t: to_text(digest((t or "").encode())))
-
-    return of(text)
-
-
 def in_order_blocks(docs: DataFrame, key: str, blocks: int) -> DataFrame:
     """docs in about `blocks` ranges of `key`, each range with the first row of the next one (tail = true) behind its own rows.
 

@@ -5,7 +5,8 @@ their overlap where both have a token boundary that is proven stable: no piece o
 side, so no merge can ever cross it, and the merges on its two sides don't depend on each other. Where an overlap has no such position, it
 is widened, at last over the whole left chunk. The counts are those of encoding the text in one go.
 
-Defined results: null and empty texts have 0 tokens.
+Defined results: null and empty texts have 0 tokens; exactly `limit` tokens are not over it; repeated rows are counted each, null ids stay null; no
+documents give no rows. Only doc_id and text are read, so other columns, of whatever name, don't matter.
 """
 
 from __future__ import annotations
