@@ -29,6 +29,12 @@ def filtered(products: DataFrame, search: str | None = None, min_price: float |
     return products.where(reduce(Column.__and__, conditions)) if conditions else products
 
 
+def found(rows: DataFrame, text: str, columns: tuple[str, ...], attributes: str | None = None) -> DataFrame:
+    """Rows with a text, in any case and taken literally, anywhere in the given columns or the values of a map, read as one text."""
+    parts = [F.col(c).cast("string") for c in columns] + ([F.array_join(F.map_values(attributes), " ")] if attributes else [])
+    return rows.where(F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(text.strip().lower())))
+
+
 def page(rows: DataFrame, by: str, descending: bool = False, key: str = "product_id", limit: int = 20, offset: int = 0) -> DataFrame:
     """One page; rows without a value come last either way, ties go by key. limit is from 1 to 100."""
     if by not in SORTABLE:

@@ -99,3 +99,28 @@ def query_status(verdicts: DataFrame, key: str) -> DataFrame:
     n = lambda v: F.count_if(F.col("verdict") == v)
     status = F.when(n("match") > 0, "MATCH").when(n("alternative") > 0, "ALTERNATIVE").otherwise("NO_MATCH")
     return verdicts.groupBy(key).agg(n("match").alias("matches"), n("alternative").alias("alternatives"), n("reject").alias("rejected"), status.alias("status"))
+
+
+def by_confidence(candidates: DataFrame, key: str, tie: str = "competitor_id", price: str = "price") -> DataFrame:
+    """candidates with their place by confidence in bands of a tenth, then price, then tie: a total order in place of one that compares prices only
+    where two confidences are closer than a tenth, which is none. Without confidence last, without price last in the band."""
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last(F.floor(F.col("confidence") * 10)), F.asc_nulls_last(price), tie)
+    return candidates.withColumn("place", F.row_number().over(order))
+
+
+def listing_order(listings: DataFrame, key: str) -> DataFrame:
+    """Listings with their place on a product's page: primary ones first, then the cheapest, then by name; ties by id."""
+    order = Window.partitionBy(key).orderBy(F.desc_nulls_last("is_primary"), F.asc_nulls_last("price"), "name", "competitor_id")
+    return listings.withColumn("place", F.row_number().over(order))
+
+
+def coverage_order(coverage: DataFrame, key: str = "order_id") -> DataFrame:
+    """Suppliers of an order with their place: most lines covered first, then the lowest total."""
+    order = Window.partitionBy(key).orderBy(F.desc("covered"), F.asc_nulls_last("total"), "supplier_id")
+    return coverage.withColumn("place", F.row_number().over(order))
+
+
+def relation_group(relation: Column, confidence: Column) -> Column:
+    """strong, possible, similar or excluded: where a relation stands in a list of answers."""
+    out = F.when(relation.isin("conflict", "unrelated"), "excluded").when((relation == "same_product") & (confidence >= SAME_PRODUCT), "strong")
+    return out.when(relation.isin("same_product", "compatible", "possible"), "possible").when(relation.isNotNull(), "similar")

@@ -59,3 +59,26 @@ def answer_health(answers: DataFrame, probe: str, shop: str, query: str, url: st
     by = sets.groupBy(shop).agg(F.bool_or("ok").alias("ok"), F.max(F.size("urls")).alias("most"), F.count_distinct("urls").alias("kinds"), F.count("*").alias("probes"))
     health = F.when(~F.col("ok"), "error").when(F.col("most") == 0, "empty").when((F.col("probes") > 1) & (F.col("kinds") == 1), "ignores_query").otherwise("ok")
     return by.select(shop, health.alias("health"), "probes")
+
+
+#: How bad the states of a shop's search are; a state that is null is 1.
+SEVERITY = {"error": 4, "ignores_query": 3, "empty": 2}
+
+
+def worst_by_host(shops: DataFrame, owner: str = "owner_id", key: str = "shop_id") -> DataFrame:
+    """shops(host, status, detail, owner, key) by host: the worst status with its detail (the smallest key of equally bad ones), its severity and the
+    number of owners."""
+    severity = F.when(F.col("status").isNull(), 1)
+    for state, rank in SEVERITY.items():
+        severity = severity.when(F.col("status") == state, rank)
+    rows = shops.withColumn("__rank", severity.otherwise(0))
+    worst = rows.groupBy("host").agg(F.min(F.struct((-F.col("__rank")).alias("r"), F.col(key).alias("k"), F.col("status").alias("s"), F.col("detail").alias("d"))).alias("w"), F.count_distinct(owner).alias("accounts"))
+    return worst.select("host", F.col("w.s").alias("status"), F.col("w.d").alias("detail"), (-F.col("w.r")).cast("int").alias("severity"), "accounts")
+
+
+def newest_filled(rows: DataFrame, key: str, json: str, order: list[str]) -> DataFrame:
+    """Of each key, the newest row whose JSON array has elements, with their number."""
+    filled = rows.withColumn("n_elements", F.json_array_length(json)).where("n_elements > 0")
+    rest = [c for c in filled.columns if c != key and c not in order]
+    newest = filled.groupBy(key).agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("__newest"))
+    return newest.select(key, "__newest.*")

@@ -215,7 +215,7 @@ SELECT p_partkey, abs(a - b) <= CAST(0.001 AS DOUBLE) * greatest(abs(a), abs(b))
     "spell_correction": """WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS known FROM part),
 w AS (SELECT DISTINCT unnest([substr(known, 1, 1) || substr(known, 3, 1) || substr(known, 2, 1) || substr(known, 4), known || 'z', substr(known, 2), 'q' || substr(known, 2)]) AS word FROM k)
 SELECT word, known FROM w, k WHERE length(word) >= 5 AND length(known) >= 5 AND word NOT IN (SELECT known FROM k) AND damerau_levenshtein(word, known) = 1""",
-    "manual_price_search": """WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT name, unnest(string_split(name, ' ')) AS token FROM n),
+    "manual_price_search": f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT name, unnest({sql_tokens("name")}) AS token FROM n),
 s AS (SELECT a.name AS query, b.name, count(*) AS shared FROM t AS a JOIN t AS b ON a.token = b.token GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, name) AS rank FROM s) SELECT * FROM r WHERE rank <= 8""",
     "sitemap_slug_search": f"SELECT page_id, {_SLUG} AS slug, contains({_SLUG}, 'page') AS page, contains({_SLUG}, 'en') AS en FROM pages",
