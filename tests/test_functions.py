@@ -133,3 +133,30 @@ def test_robots(spark):
     urls = spark.createDataFrame([("h", "/a/b"), ("h", "/a"), ("h", "/c"), ("o", "/a")], "host string, path string")
     rules = spark.createDataFrame([("h", False, "/a"), ("h", True, "/a/b"), ("h", True, "/a/"), ("h", False, "/a/")], "host string, allow boolean, prefix string")
     assert {(r["host"], r["path"]): r["allowed"] for r in textjoin.robots_allowed(urls, rules).collect()} == {("h", "/a/b"): True, ("h", "/a"): False, ("h", "/c"): True, ("o", "/a"): True}
+
+
+def test_units_of_all_kinds(spark):
+    cases = [
+        (212.0, "°F", "°c", 100.0), (1.0, "psi", "mbar", 68.9), (2.0, "к.с", "kw", 1.471), (36.0, "km/h", "м/с", 10.0), (1.5, "h", "мин", 90.0), (1.0, "kwh", "mah", 1000 / 0.0037),
+        (3.0, "t", "kg", 3000.0), (2.0, "кв.м", "cm2", 20000.0), (5.0, "мл", "cm", 500.0), (1.0, "gsm", "rpm", None), (1.0, "parsec", "m", None),
+    ]
+    rows = spark.createDataFrame(cases, "v double, a string, b string, want double").withColumn("got", units.convert_unit(F.col("v"), F.col("a"), F.col("b")))
+    assert all(r["got"] is None if r["want"] is None else abs(r["got"] - r["want"]) < 1e-3 * r["want"] for r in rows.collect())
+
+
+def test_spellings_of_two_kinds(spark):
+    cases = [("g", None, "mass", 0.016), ("g", "data", "data", 16.0), ("T", "data", "data", 16000.0), ("мл", "volume", "volume", 0.016), ("mm", "data", "length", 0.016)]
+    rows = spark.createDataFrame(cases, "u string, h string, kind string, base double")
+    for r in rows.withColumn("k", units.kind_of(F.col("u"), F.col("h"))).withColumn("b", units.to_base(F.lit(16.0), F.col("u"), F.col("h"))).collect():
+        assert (r["k"], r["b"]) == (r["kind"], r["base"])
+
+
+def test_quantities_are_written(spark):
+    cases = [(12.0, "вата", "12 W"), (2.5, "mm2", "2.5 mm²"), (55.0, "zoll", '55"'), (0.33333, "л", "0.333 l"), (100.0, "°f", "100 °F"), (1.0, "parsec", None)]
+    rows = spark.createDataFrame(cases, "v double, u string, want string").withColumn("got", units.formatted(F.col("v"), F.col("u")))
+    assert all(r["got"] == r["want"] for r in rows.collect())
+
+
+def test_measures_in_folded_text(spark):
+    found = values(spark, lambda x: F.to_json(units.measurements(F.lower(text.fold_homoglyphs(x)))), ["12 вата, 1,5 м и 20 м2 за 10 кг, 5 об/мин"], "string")[0]
+    assert found == '[{"kind":"power","value":12.0},{"kind":"length","value":1.5},{"kind":"area","value":20.0},{"kind":"mass","value":10.0},{"kind":"rotation","value":5.0}]'
