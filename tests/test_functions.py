@@ -76,25 +76,60 @@ def test_units(spark):
     assert units.dimension(spark).count() == len(units._ROWS)
 
 
+MAKERS = ("ledvance", "vivalux", "lg", "schneider", "makita", "patona")
+
+
 @pytest.mark.parametrize(
-    ("query", "candidate", "relation", "least", "blocked"),
+    ("query", "candidate", "relation", "confidence"),
     [
-        ("Ledvance spot 5W GU10 4006381333931", "спот 4006381333931", "same_product", 1.0, False),
-        ("контактор LC1D09M7 230V", "Контактор LC1D09M7 черен", "same_product", 0.95, False),
-        ("Ledvance LED 7W E14 2700K", "LEDVANCE LED CANDLE 7W E14 2700K", "same_product", 0.9, False),
-        ("SSD 500GB", "SSD 250GB", "conflict", 0.0, True),
-        ('монитор LG 24" IPS', 'монитор LG 32" IPS', "conflict", 0.0, True),
-        ("ПРОВОДНИК ПВА 4x6", "ПРОВОДНИК ПВА 3x10", "conflict", 0.0, True),
-        ("Ledvance LED 7W E14", "Vivalux LED 7W E14", "conflict", 0.0, True),
-        ("Ledvance LED 7W E14 2700K", "Ledvance Value LED 7W 827 E14", None, 0.4, False),
+        ("Ledvance spot 5W GU10 4006381333931", "спот 4006381333931", "same_product", 1.0),
+        ("контактор LC1D09M7 230V", "Контактор LC1-D09M7 24V", "conflict", 0.0),
+        ("контактор LC1D09M7 230V", "Контактор LC1D09M7 черен", "same_product", 0.95),
+        ("контактор LC1D09M7 черен", "Контактор LC1D09M7 бял", "same_family", 0.6),
+        ("кабел 4mm черен", "кабел 4mm син", "same_type", 0.45),
+        ("Ledvance LED 7W E14 2700K", "LEDVANCE LED CANDLE 7W E14 2700K", "same_product", 0.92),
+        ("Ledvance LED 7W E14 2700K", "Ledvance Value LED 7W 827 E14", "same_product", 0.9),
+        ("кабел 4x6", "Kabel 4x6 NYM", "same_product", 0.86),
+        ("Makita X5Z батерия", "Patona батерия за Makita X5Z", "compatible", 0.72),
+        ("Makita X5Z батерия", "Patona батерия X9Z", "conflict", 0.0),
+        ("контактор LC1D09M7", "контактор LC1D12P7", "unrelated", 0.3),
+        ("лампа", "настолна лампа бяла", "same_type", 0.75),
+        ("лампа", "кабел", "conflict", 0.0),
+        ("SSD 500GB", "SSD 250GB", "conflict", 0.0),
+        ("ПРОВОДНИК ПВА 4x6", "ПРОВОДНИК ПВА 3x10", "conflict", 0.0),
+        ("Ledvance LED 7W E14", "Vivalux LED 7W E14", "conflict", 0.0),
+        ("Ledvance lamp 7W E14", "Ledvance lamp", "possible", 0.64),
     ],
 )
-def test_matching(spark, query, candidate, relation, least, blocked):
-    row = spark.createDataFrame([(query, candidate)], "q string, c string")
-    row = matching.interpret(row, "q", ("ledvance", "vivalux", "lg", "schneider"), "q_")
-    (r,) = matching.scored(matching.relate(matching.interpret(row, "c", ("ledvance", "vivalux", "lg", "schneider"), "c_"))).collect()
-    assert (relation is None or r["relation"] == relation) and r["confidence"] >= least and r["blocked"] == blocked, r
-    assert r["score"] == 0 if blocked else r["score"] > 0
+def test_matching(spark, query, candidate, relation, confidence):
+    row = matching.interpret(spark.createDataFrame([(query, candidate)], "q string, c string"), "q", MAKERS, "q_")
+    (r,) = matching.scored(matching.relate(matching.interpret(row, "c", MAKERS, "c_"))).collect()
+    assert r["relation"] == relation and (r["confidence"] == pytest.approx(confidence) or relation == "unrelated" and r["confidence"] <= confidence), r
+    assert r["blocked"] == (relation == "conflict") and (r["score"] == 0) == r["blocked"]
+
+
+def test_article_numbers_and_scores(spark):
+    row = spark.createDataFrame([("lamp 7W", "lamp 9W", "AB-12", "ab 12"), ("lamp 7W red", "lamp 7W red", None, None), ("", None, "", "")], "q string, c string, n string, m string")
+    row = matching.interpret(matching.interpret(row, "q", MAKERS, "q_", "n"), "c", MAKERS, "c_", "m")
+    found = {r["q"]: r for r in matching.scored(matching.relate(row)).collect()}
+    assert (found["lamp 7W"]["relation"], found["lamp 7W"]["method"], found["lamp 7W"]["confidence"]) == ("same_product", "sku", 0.99)
+    # 0.3 * 0 + 0.35 * 1 + 0.12 * 1 + 0.1 * 0.5 + 0.05 * 1 + 0.08 * 0.6
+    assert found["lamp 7W red"]["score"] == pytest.approx(0.62) and found["lamp 7W red"]["relation_group"] == "strong"
+    assert found[""]["relation"] is not None
+
+
+def test_candidates_lose_no_pair(spark):
+    """All pairs of the rule that candidates() states are among its pairs, though common words are no keys."""
+    nouns, makers = ("lamp", "cable", "pump"), ("ledvance", "makita")
+    names = [f"{makers[i % 2] if i % 3 else ''} {nouns[i % 3]} {i % 5 + 5}W {'mx10%02dk' % (i % 9) if i % 4 == 0 else ''} {i % 4 + 1}x6 common words".strip() for i in range(60)] + ["lamp", "pump"]
+    made = spark.createDataFrame(list(enumerate(names)), "n long, name string")
+    q = matching.interpret(made.withColumnRenamed("n", "query_id"), "name", MAKERS, "q_").drop("name")
+    c = matching.interpret(made.withColumnRenamed("n", "offer_id"), "name", MAKERS, "c_").drop("name")
+    met = {(r[0], r[1]) for r in matching.candidates(q, c).select("query_id", "offer_id").collect()}
+    everything = matching.evidence(q.crossJoin(c))
+    wanted = everything.where("shared_gtin OR shared_sku OR arrays_overlap(q_models, c_models) OR identity_matches >= least(2, asked) AND asked > 0 OR similarity >= 0.4 OR bare AND arrays_overlap(q_words, c_words)")
+    pairs = {(r[0], r[1]) for r in wanted.select("query_id", "offer_id").collect()}
+    assert pairs and pairs <= met
 
 
 def test_price_lists(spark, tmp_path):
