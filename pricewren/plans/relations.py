@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricewren.functions.money import exact_avg, exact_sum, money_round, plain_round
 from pricewren.functions.text import host_of
@@ -104,6 +105,22 @@ def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("saved_pct", plain_round(F.try_divide(F.col("saved"), F.col("baseline")) * 100, 1))
 
 
+def customer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By owner: decisions and savings in all and of the last month and year, confirmed orders, and the five suppliers of most decisions."""
+    decisions, at = tables.decisions(spark, sf_dir), F.col("created_at")
+    saved = lambda since: F.coalesce(exact_sum(F.when(at >= F.lit(since).cast("timestamp_ntz"), F.col("savings"))), F.lit(0.0))
+    totals = decisions.groupBy("owner_id").agg(
+        F.count("*").alias("decisions"), F.count_if(F.col("savings_kind") == "realized").alias("realized"), F.max("created_at").alias("latest"),
+        F.coalesce(exact_sum(F.col("savings")), F.lit(0.0)).alias("saved"), saved("1999-01-01").alias("saved_year"), saved("1999-06-01").alias("saved_month"),
+    )
+    used = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("decision_id"), F.col("l_suppkey").alias("supplier_id")).distinct()
+    counted = used.join(decisions.select("decision_id", "owner_id"), "decision_id").groupBy("owner_id", "supplier_id").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("n"), "supplier_id"))
+    first = counted.withColumn("nth", nth).where("nth <= 5").groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("nth", "supplier_id", "n"))).alias("s"))
+    named = first.select("owner_id", F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["supplier_id"].cast("string"), x["n"].cast("string"))), ",").alias("top_suppliers"))
+    return totals.join(named, "owner_id", "left")
+
+
 def realised_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions all of whose suppliers confirmed (line status F): the confirmed goods with shipping and handling against the baseline."""
     goods = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("decision_id"), F.col("l_suppkey").alias("supplier_id")).agg(
@@ -130,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         alerts_with_optional_listing, decisions_with_order_counts, top_suppliers_unnest, host_usage, semi_join_active, anti_join_missing, host_suffix_match,
-        array_overlap_filter, owner_sequence_numbers, trial_parking, windowed_savings_totals, currency_mode, decision_summary, realised_savings, frozen_record_diff,
+        array_overlap_filter, owner_sequence_numbers, trial_parking, windowed_savings_totals, currency_mode, decision_summary, customer_rollup, realised_savings, frozen_record_diff,
     )
 }
 
@@ -174,6 +191,13 @@ SELECT owner_id, least(count(*), 5) AS active, greatest(count(*) - 5, 0) AS park
     "decision_summary": f"""WITH {DECISIONS_SQL}, x AS (SELECT owner_id, count(*) AS decisions, count(*) FILTER (WHERE savings_kind = 'realized') AS realized,
   {sql_money(_dsum("savings") + " / count(savings)")} AS mean_saving, {_dsum("savings")} AS saved, {_dsum("baseline_total")} AS baseline FROM decisions GROUP BY owner_id)
 SELECT *, {sql_plain("saved / NULLIF(baseline, 0) * 100", 1)} AS saved_pct FROM x""",
+    "customer_rollup": f"""WITH {DECISIONS_SQL}, totals AS (SELECT owner_id, count(*) AS decisions, count(*) FILTER (WHERE savings_kind = 'realized') AS realized, max(created_at) AS latest,
+  coalesce({_dsum("savings")}, 0) AS saved, coalesce({_dsum("CASE WHEN created_at >= TIMESTAMP '1999-01-01' THEN savings END")}, 0) AS saved_year,
+  coalesce({_dsum("CASE WHEN created_at >= TIMESTAMP '1999-06-01' THEN savings END")}, 0) AS saved_month FROM decisions GROUP BY owner_id),
+counted AS (SELECT owner_id, l_suppkey AS supplier_id, count(DISTINCT l_orderkey) AS n FROM lineitem JOIN decisions ON decision_id = l_orderkey GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY n DESC, supplier_id) AS nth FROM counted),
+named AS (SELECT owner_id, string_agg(supplier_id || ':' || n, ',' ORDER BY nth) AS top_suppliers FROM placed WHERE nth <= 5 GROUP BY 1)
+SELECT totals.*, top_suppliers FROM totals LEFT JOIN named ON named.owner_id = totals.owner_id""",
     "realised_savings": f"""WITH {DECISIONS_SQL}, {TERMS_SQL}, g AS (SELECT l_orderkey, l_suppkey, {_dsum("l_extendedprice")} AS goods, bool_and(l_linestatus = 'F') AS confirmed FROM lineitem GROUP BY 1, 2),
 c AS (SELECT l_orderkey, bool_and(confirmed) AS confirmed, {_dsum("goods")} AS goods, {_dsum("shipping_cost + handling_fee")} AS overhead FROM g JOIN terms ON supplier_id = l_suppkey GROUP BY 1)
 SELECT decision_id, {_TOTAL} AS realized_total, {sql_money(f"baseline_total - {_TOTAL}")} AS realized_savings FROM decisions JOIN c ON l_orderkey = decision_id WHERE confirmed""",
