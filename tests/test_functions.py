@@ -79,31 +79,36 @@ def test_units(spark):
 MAKERS = ("ledvance", "vivalux", "lg", "schneider", "makita", "patona")
 
 
-@pytest.mark.parametrize(
-    ("query", "candidate", "relation", "confidence"),
-    [
-        ("Ledvance spot 5W GU10 4006381333931", "спот 4006381333931", "same_product", 1.0),
-        ("контактор LC1D09M7 230V", "Контактор LC1-D09M7 24V", "conflict", 0.0),
-        ("контактор LC1D09M7 230V", "Контактор LC1D09M7 черен", "same_product", 0.95),
-        ("контактор LC1D09M7 черен", "Контактор LC1D09M7 бял", "same_family", 0.6),
-        ("кабел 4mm черен", "кабел 4mm син", "same_type", 0.45),
-        ("Ledvance LED 7W E14 2700K", "LEDVANCE LED CANDLE 7W E14 2700K", "same_product", 0.92),
-        ("Ledvance LED 7W E14 2700K", "Ledvance Value LED 7W 827 E14", "same_product", 0.9),
-        ("кабел 4x6", "Kabel 4x6 NYM", "same_product", 0.86),
-        ("Makita X5Z батерия", "Patona батерия за Makita X5Z", "compatible", 0.72),
-        ("Makita X5Z батерия", "Patona батерия X9Z", "conflict", 0.0),
-        ("контактор LC1D09M7", "контактор LC1D12P7", "unrelated", 0.3),
-        ("лампа", "настолна лампа бяла", "same_type", 0.75),
-        ("лампа", "кабел", "conflict", 0.0),
-        ("SSD 500GB", "SSD 250GB", "conflict", 0.0),
-        ("ПРОВОДНИК ПВА 4x6", "ПРОВОДНИК ПВА 3x10", "conflict", 0.0),
-        ("Ledvance LED 7W E14", "Vivalux LED 7W E14", "conflict", 0.0),
-        ("Ledvance lamp 7W E14", "Ledvance lamp", "possible", 0.64),
-    ],
-)
-def test_matching(spark, query, candidate, relation, confidence):
-    row = matching.interpret(spark.createDataFrame([(query, candidate)], "q string, c string"), "q", MAKERS, "q_")
-    (r,) = matching.scored(matching.relate(matching.interpret(row, "c", MAKERS, "c_"))).collect()
+PAIRS = [
+    ("Ledvance spot 5W GU10 4006381333931", "спот 4006381333931", "same_product", 1.0),
+    ("контактор LC1D09M7 230V", "Контактор LC1-D09M7 24V", "conflict", 0.0),
+    ("контактор LC1D09M7 230V", "Контактор LC1D09M7 черен", "same_product", 0.95),
+    ("контактор LC1D09M7 черен", "Контактор LC1D09M7 бял", "same_family", 0.6),
+    ("кабел 4mm черен", "кабел 4mm син", "same_type", 0.45),
+    ("Ledvance LED 7W E14 2700K", "LEDVANCE LED CANDLE 7W E14 2700K", "same_product", 0.92),
+    ("Ledvance LED 7W E14 2700K", "Ledvance Value LED 7W 827 E14", "same_product", 0.9),
+    ("кабел 4x6", "Kabel 4x6 NYM", "same_product", 0.86),
+    ("Makita X5Z батерия", "Patona батерия за Makita X5Z", "compatible", 0.72),
+    ("Makita X5Z батерия", "Patona батерия X9Z", "conflict", 0.0),
+    ("контактор LC1D09M7", "контактор LC1D12P7", "unrelated", 0.3),
+    ("лампа", "настолна лампа бяла", "same_type", 0.75),
+    ("лампа", "кабел", "conflict", 0.0),
+    ("SSD 500GB", "SSD 250GB", "conflict", 0.0),
+    ("ПРОВОДНИК ПВА 4x6", "ПРОВОДНИК ПВА 3x10", "conflict", 0.0),
+    ("Ledvance LED 7W E14", "Vivalux LED 7W E14", "conflict", 0.0),
+    ("Ledvance lamp 7W E14", "Ledvance lamp", "possible", 0.64),
+]
+
+
+@pytest.fixture(scope="module")
+def verdicts(spark):
+    rows = matching.interpret(spark.createDataFrame([p[:2] for p in PAIRS], "q string, c string"), "q", MAKERS, "q_")
+    return {(r["q"], r["c"]): r for r in matching.scored(matching.relate(matching.interpret(rows, "c", MAKERS, "c_"))).collect()}
+
+
+@pytest.mark.parametrize(("query", "candidate", "relation", "confidence"), PAIRS)
+def test_matching(verdicts, query, candidate, relation, confidence):
+    r = verdicts[query, candidate]
     assert r["relation"] == relation and (r["confidence"] == pytest.approx(confidence) or relation == "unrelated" and r["confidence"] <= confidence), r
     assert r["blocked"] == (relation == "conflict") and (r["score"] == 0) == r["blocked"]
 
