@@ -4,7 +4,9 @@ Documents are dealt to blocks by ranges of doc_id, so the order of blocks is the
 of its documents with a rolling polynomial and sends each distinct hash once, packed by a second polynomial into parts. A part counts, over all blocks, which
 hashes an earlier block also sent, and answers each block with one bit for each hash. The block then knows for every window whether its words start in a
 document of a smaller id, in an earlier block or in its own; removed windows that touch or overlap merge into maximal intervals of words. So a window is
-shuffled as 8 bytes at most once for each block, however many documents share it; no key holds more than its blocks.
+shuffled as 8 bytes at most once for each block, however many documents share it; no key holds more than its blocks. Bytes of text are summed first, and
+say how many blocks and parts there are. A task holds a block: 64 MB of text at most, but for a longer document, and some sixteen
+times that in numbers.
 
 Windows count as equal if both polynomials' values are: 64 bits and those that choose the part. Texts are shuffled once, by block; their exchange
 serves both uses.
@@ -24,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import shuffle_partitions
 from pricewren.llm.shingles import _BASE, _BLANK, _INVERSE, RUN_BYTES, _power, mix
 
-#: Blocks of documents, and parts of hashes, for each shuffle partition.
-SPREAD = 4
+#: Least and greatest bytes of text of a block, and the bytes for each pair of a block and a part in between: so the number of pairs, each of which is
+#: a row, grows with the input and not with its square.
+BLOCK_BYTES, PAIR_BYTES = (6 << 20, 64 << 20), 1 << 14
 #: The base of the polynomial that chooses the part; that of the shingles' serves for words and windows.
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 _OTHER_INVERSE = np.uint64(pow(int(_OTHER), -1, 1 << 64))
@@ -88,6 +90,7 @@ class Block:
         table = table.sort_by([("doc_id", "ascending")])  # without an id: last
         self.ids, self.texts = table.column("doc_id").to_pylist(), [(t or "").encode() for t in table.column("text").to_pylist()]
         self.words = words
+        del table
         word, self.counts = word_hashes(self.texts)
         ends = np.cumsum(self.counts)
         self.firsts = ends - self.counts
@@ -98,7 +101,8 @@ class Block:
         owner = np.repeat(np.arange(len(self.counts)), self.counts)
         self.at = np.flatnonzero(np.arange(len(word) - words + 1) + words <= ends[owner[: len(word) - words + 1]])  # windows within one text
         code = _rolling(word, words, _BASE, _INVERSE)[self.at]
-        part = (_rolling(word, words, _OTHER, _OTHER_INVERSE)[self.at] % np.uint64(parts)).astype(np.int64)
+        part = (_rolling(word, words, _OTHER, _OTHER_INVERSE)[self.at] % np.uint64(parts)).astype(np.int32)
+        del word, owner
         order = np.lexsort((code, part))  # stable: the first of equal windows is that of the smallest id
         new = np.ones(len(order), dtype=bool)
         new[1:] = (code[order[1:]] != code[order[:-1]]) | (part[order[1:]] != part[order[:-1]])
@@ -155,12 +159,16 @@ def range_blocks(docs: DataFrame, key: str, blocks: int, spare: Column) -> Colum
     return F.when(F.col(key).isNull(), blocks + F.pmod(spare, F.lit(blocks))).otherwise(placed).cast("int")
 
 
+def split(n_bytes: int) -> int:
+    """Into how many blocks of documents, and as many parts of hashes, texts of so many bytes are dealt."""
+    return max(1, -(-n_bytes // min(max(BLOCK_BYTES[0], int((n_bytes * PAIR_BYTES) ** 0.5)), BLOCK_BYTES[1])))
+
+
 def substring_dedup(docs: DataFrame, words: int = 13) -> DataFrame:
     """For every row of docs(doc_id, text): doc_id, n_words, n_removed, removed (maximal intervals of words, from 0, end exclusive) and kept (the other
     words, joined by a space). A word is removed if a window of `words` words covers it whose words also start in a document of a smaller id."""
-    spark = docs.sparkSession
-    blocks = parts = SPREAD * shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = parts = split(rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0)
     dealt = rows.withColumn("block", range_blocks(rows, "doc_id", blocks, F.xxhash64("text")))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:

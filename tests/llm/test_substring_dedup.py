@@ -61,6 +61,20 @@ def test_passages_groups_of_copies_and_odd_rows(spark):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+def test_many_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    shared = prose(20, 20, seed=9)
+    docs = [(i, " ".join(rng.choice(shared) for _ in range(4))) for i in range(300)]
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", (9000, 9000))
+    assert substring_dedup.split(sum(len(t) for _, t in docs)) > 10
+    assert in_order(found(substring_dedup.substring_dedup(documents(spark, docs).repartition(5)))) == in_order(plainly(docs))
+
+
+def test_rows_between_blocks_and_parts_grow_with_the_input():
+    pairs = [substring_dedup.split(n) ** 2 for n in (1 << 32, 1 << 34, 1 << 36)]
+    assert pairs[1] <= 4.1 * pairs[0] and pairs[2] <= 4.1 * pairs[1] and substring_dedup.split(0) == 1
+
+
 def test_long_texts_are_hashed_in_runs(monkeypatch):
     texts = [t.encode() for t in [*prose(6, 400), "", "x", "no-gap" * 900, " ".join(prose(30, 80))]]
     whole, n = substring_dedup.word_hashes(texts)
