@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pricewren.llm.common import frugal, unit_hash
 
 ORDER = 3
-#: Bounds of the training sample, for each language and in all, and of the languages.
-SAMPLE_BYTES, ALL_BYTES, LANGUAGES = 4_000_000, 64_000_000, 200
+#: Bounds of the training sample, for each language and in all; a language keeps one text at least.
+SAMPLE_BYTES, ALL_BYTES = 4_000_000, 64_000_000
 UNDETERMINED = "und"
 #: Texts are scored in runs of about so many bytes at a time.
 RUN_BYTES = 1 << 21
@@ -182,15 +182,16 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, all_bytes: int = ALL_BYTES, seed: int = 9) -> LanguageModel:
-    """A model of docs(lang, text). What reaches the driver are the counts of a sample of about all_bytes bytes at most, and LANGUAGES sums."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sums = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).where("n > 0").orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    sizes = {r["lang"]: r["n"] for r in sums.collect()}
+    """A model of docs(lang, text) with all their languages. What reaches the driver are one row for each language, and the counts of a sample of about
+    all_bytes bytes: languages have equal shares of it, and each at least the text whose hash is least."""
+    drawn = unit_hash(F.col("text"), seed=seed)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", drawn.alias("drawn"))
+    sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min(F.when(F.octet_length("text") > 0, F.col("drawn"))).alias("least")).where("n > 0").collect()
     if not sizes:
         return LanguageModel({})
     most = min(sample_bytes, all_bytes // len(sizes))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, most / n))])
-    sample = labelled.where(unit_hash(F.col("text"), seed=seed) < F.try_element_at(share, F.col("lang")))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["n"]), r["least"]) for r in sizes], "lang string, share double, least double")
+    sample = labelled.join(F.broadcast(shares), "lang").where("drawn < share or drawn = least").select("lang", "text")  # a row for each language
     rows = sample.mapInArrow(frugal(_count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts = {}
     langs, grams, n = rows.column("lang").to_numpy(zero_copy_only=False), rows.column("gram").to_numpy(), rows.column("n").to_numpy()

@@ -4,6 +4,7 @@ import math
 import pickle
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pricewren.llm import language_id, queries
 from tests.llm.making import ODD, crowded, documents, empty
@@ -85,3 +86,16 @@ def test_tables():
     values, there = table.find(keys)
     assert there[::2].all() and not there[1::2].any() and (values[::2] == np.arange(len(keys[::2]))).all() and not values[1::2].any()
     assert not language_id.Table(keys[:0], np.zeros(0)).find(keys)[1].any()
+
+
+def test_no_language_is_left_out(spark):
+    """300 languages, each of an alphabet of its own, some of one long text and with a sample far smaller than the texts."""
+    rows = []
+    for i in range(300):
+        a, b = chr(0x4E00 + 2 * i), chr(0x4E01 + 2 * i)
+        rows += [(3 * i + j, (a + b + " ") * (40 if i % 7 else 400) + a * j) for j in range(3)]
+    docs = documents(spark, rows).withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") / 3).cast("int").cast("string")))
+    model = language_id.train(docs, sample_bytes=200, all_bytes=30_000)
+    assert len(model.languages) == 300
+    found = language_id.predict(docs, model).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id'] // 3}" for r in found)
