@@ -3,7 +3,9 @@
 A text of over CHUNK characters is encoded in overlapping chunks with offsets. Two neighbouring chunks are spliced at a position inside
 their overlap where both have a token boundary that is proven stable: no piece of the vocabulary holds the two characters around it side by
 side, so no merge can ever cross it, and the merges on its two sides don't depend on each other. Where an overlap has no such position, it
-is widened, at last over the whole left chunk. The counts are those of encoding the text in one go.
+is widened, at last over the whole left chunk; where that has none either, the characters up to the next such position (or the end) are encoded once, as a
+whole. So time grows with the length, and memory with the longest stretch without a proven boundary. The counts are those of encoding the text in one go, for
+a model whose normalisation is `identity`.
 
 Defined results: null and empty texts have 0 tokens; exactly `limit` tokens are not over it; repeated rows are counted each, null ids stay null; no
 documents give no rows. Only doc_id and text are read, so other columns, of whatever name, don't matter.
@@ -69,8 +71,14 @@ class PieceCounter:
                     total += int(((begins >= kept) & (begins < at)).sum())
                     kept, left, right, begins = at, start, end, after
                     break
-                if start == kept:  # nothing in the whole chunk is proven: take both chunks as one
-                    right = min(len(text), right + self.chunk)
+                if start == kept:  # nothing in the whole chunk is proven: all up to the next proven boundary is encoded once, as a whole
+                    at = next((p for p in range(right, len(text)) if self.stable(text, p)), len(text))
+                    left = max(0, kept - 1)
+                    total += int((self.begins(text[left:at]) + left >= kept).sum())
+                    if at == len(text):
+                        return total
+                    kept, left = at, at - 1
+                    right = min(len(text), left + self.chunk)
                     begins = self.begins(text[left:right]) + left
                     break
                 overlap *= 4

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import public_tokenizers
 import sentencepiece
@@ -30,6 +31,17 @@ def test_splicing_at_small_chunks():
         assert counter.count(t) == len(counter.model.encode(t)), t[:40]
 
 
+def test_texts_without_boundaries_take_linear_time():
+    counter = token_counts.PieceCounter(PATH)
+    for text in ("a" * 4_000_000, "b" * 100_000 + " " + "a" * 300_000 + "日" + "b" * 70_000, "word " + "a" * 80_000 + " end " * 20_000):
+        began = time.process_time()
+        n = counter.count(text)
+        took = time.process_time() - began
+        began = time.process_time()
+        assert n == len(counter.model.encode(text, return_type="numpy"))
+        assert took < 6 * (time.process_time() - began) + 1
+
+
 def test_odd_rows(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
     rows = token_counts.token_counts(crowded(documents(spark, ODD)), PATH, limit=10).collect()
