@@ -139,7 +139,7 @@ def sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
              max(canonical_identifier(t.supplier_name)) AS last_code, min(net_price(l.price, t.vat_state, t.vat_rate)) AS cheapest_net, max(change_percent(p.our_price, l.price)) AS largest_change
            FROM products p JOIN listings l ON l.product_id = p.product_id JOIN supplier_terms t ON t.supplier_id = l.competitor_id
            WHERE p.our_price >= :least GROUP BY p.brand""",
-        least=1000.0,
+        least=905.0,
     )
 
 
@@ -197,6 +197,6 @@ SELECT word, coalesce(early, CASE WHEN length(y) > 3 AND regexp_matches(y, '[и
     "sitemap_addresses": "SELECT page_id, url FROM pages UNION ALL SELECT page_id, regexp_replace(url, '[?#].*$', '') || '/b' FROM pages",
     "sql_surface": f"""WITH {LISTINGS_SQL}, {TERMS_SQL} SELECT p_brand AS brand, count(*) AS listings, count(DISTINCT host) AS hosts, max({sql_money("price * CAST(1.1 AS DOUBLE)")}) AS dearest,
   max(regexp_replace(lower(supplier_name), '[^a-z0-9]', '', 'g')) AS last_code, min(CASE WHEN vat_state = 'inclusive' THEN {sql_money("price / (1 + vat_rate / 100)")} ELSE price END) AS cheapest_net,
-  max({sql_money("(price - p_retailprice) / p_retailprice * 100")}) AS largest_change FROM listings JOIN part ON p_partkey = product_id JOIN terms ON supplier_id = competitor_id WHERE p_retailprice >= 1000 GROUP BY 1""",
+  max({sql_money("(price - p_retailprice) / p_retailprice * 100")}) AS largest_change FROM listings JOIN part ON p_partkey = product_id JOIN terms ON supplier_id = competitor_id WHERE p_retailprice >= 905 GROUP BY 1""",
     "sql_request_rows": "SELECT p_partkey, unnest([0, 1, 2]) AS line, unnest([p_name, p_type, p_brand]) AS query FROM part",
 }

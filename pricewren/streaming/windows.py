@@ -7,19 +7,19 @@ lost executor or driver costs no rows. Late rows are those behind the watermark;
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewren.shared import shared_root
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir, or, where that is unset (tests), below a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(root or tempfile.mkdtemp(prefix='pricewren-stream-')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, path: str, schema: str = EVENTS, watermark: str = "1 hour", per_trigger: int = 100) -> DataFrame:
