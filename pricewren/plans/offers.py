@@ -105,8 +105,7 @@ def basket_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For orders that no supplier alone serves: who refuses them for their value, with minimums DEAR times as high."""
     lines, offers, terms = _basket(spark, sf_dir)
     terms = terms.withColumn("min_order_value", F.col("min_order_value") * DEAR)
-    cover = basket.coverage(lines, offers, terms)
-    return basket.refused(cover, terms, basket.single_supplier(cover))
+    return basket.refused(basket.coverage(lines, offers, terms), terms)
 
 
 def basket_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,9 +227,9 @@ SELECT supplier_id, CASE WHEN supplier_id % 17 = 0 THEN 'supplier_excluded' WHEN
     "basket_coverage": f"""WITH {_COVER_SQL} SELECT covered, missing, count(*) AS n, count(*) FILTER (WHERE meets_minimum) AS accepted, {_dsum("goods_total")} AS goods, {_dsum("total")} AS total FROM cover GROUP BY 1, 2""",
     "basket_single_supplier": f"""WITH {_COVER_SQL}, x AS (SELECT order_id, supplier_id, total, row_number() OVER (PARTITION BY order_id ORDER BY total, supplier_id) AS nth FROM cover WHERE missing = 0 AND meets_minimum)
 SELECT order_id, supplier_id, total FROM x WHERE nth = 1""",
-    "basket_refusals": f"""WITH {_COVER_SQL}, able AS (SELECT order_id, supplier_id, goods_total, min_order_value * {DEAR}e0 AS min_order_value FROM cover WHERE missing = 0)
-SELECT *, {sql_money("min_order_value - goods_total")} AS lacking FROM able AS a
-WHERE goods_total < min_order_value AND NOT EXISTS (SELECT 1 FROM able AS s WHERE s.order_id = a.order_id AND s.goods_total >= s.min_order_value)""",
+    "basket_refusals": f"""WITH {_COVER_SQL}, able AS (SELECT order_id, supplier_id, goods_total, min_order_value * {DEAR}e0 AS min_order_value,
+  max(CASE WHEN goods_total >= min_order_value * {DEAR}e0 THEN 1 ELSE 0 END) OVER (PARTITION BY order_id) AS served FROM cover WHERE missing = 0)
+SELECT order_id, supplier_id, goods_total, min_order_value, {sql_money("min_order_value - goods_total")} AS lacking FROM able WHERE served = 0""",
     "basket_split": f"""WITH {_LINES_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY order_id, line_id ORDER BY unit_price, supplier_id) AS nth FROM priced),
 g AS (SELECT order_id, supplier_id, count(*) AS n, {_dsum("line_total")} AS goods_total FROM b WHERE nth = 1 GROUP BY 1, 2), g2 AS (SELECT g.*, {_T} FROM g JOIN terms AS t ON t.supplier_id = g.supplier_id)
 SELECT x.order_id, count(*) AS suppliers, CAST(any_value(lines) - sum(n) AS BIGINT) AS missing, {_dsum("goods_total")} AS goods, {_dsum(_OVER)} AS total, bool_and(meets_minimum) AS viable
