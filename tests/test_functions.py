@@ -44,7 +44,7 @@ def test_requests(spark):
     said = {
         "Продуктът е изчерпан": False, "produs indisponibil": False, "Ships today, in stock": True, "Produs disponibil": True, "Виж наличност": None, "in stock elsewhere, here out of stock": False,
         "не е наличен": False, "nu este în stoc": False, "unavailable": False, "discontinued": False, "not available": False, "Not in stock": False, "δεν είναι διαθέσιμο": False, "διαθέσιμο": True,
-        "наличност: 0": False, "наличност: 14": None, "Наличен": True, "available": None, "available now": True, "инстокови": None, "stocked in Stockholm": None, "": None, None: None,
+        "наличност: 0": False, "In stock: 0": False, "Stock 0 pcs": False, "in stock 0.5 l": True, "наличност: 14": None, "Наличен": True, "available": None, "available now": True, "инстокови": None, "stocked in Stockholm": None, "": None, None: None,
     }
     assert dict(zip(said, values(spark, requests.availability, said))) == said
     plans = {
