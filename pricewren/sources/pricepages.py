@@ -44,6 +44,20 @@ def sitemap_locations(sitemaps: DataFrame, column: str = "xml") -> DataFrame:
     return sitemaps.select(*[c for c in sitemaps.columns if c != column], F.explode(F.regexp_extract_all(column, F.lit("<loc>\\s*([^<\\s]+)\\s*</loc>"), F.lit(1))).alias("url"))
 
 
+def sitemap_pages(sitemaps: DataFrame, roots: DataFrame, levels: int = 3) -> DataFrame:
+    """site, url and level of the pages that are reached from roots(site, url) over sitemaps(url, xml): an index leads to further ones, down to `levels` (the root
+    is level 1). A page counts once for each site, at its least level; a sitemap that names itself or one above is read again at most once a level, and one that
+    isn't there leads nowhere. Sites without sitemaps have no rows."""
+    frontier, found = roots.select("site", "url").distinct(), None
+    inside = lambda tag: F.explode(F.regexp_extract_all("xml", F.lit(f"(?s)<{tag}>.*?<loc>\\s*([^<\\s]+)\\s*</loc>"), F.lit(1))).alias("url")
+    for level in range(1, levels + 1):
+        maps = frontier.join(sitemaps.select("url", "xml"), "url").select("site", "xml")
+        pages = maps.select("site", inside("url")).withColumn("level", F.lit(level))
+        found = pages if found is None else found.unionByName(pages)
+        frontier = maps.select("site", inside("sitemap")).distinct()
+    return found.groupBy("site", "url").agg(F.min("level").alias("level"))
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
     """Rows as CSV with semicolons and decimal commas."""
     numbers = {c: F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")) for c, t in rows.dtypes if t in ("double", "float") or t.startswith("decimal")}
