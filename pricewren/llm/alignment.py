@@ -27,6 +27,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,11 @@ class Aligner:
         self.a_bytes = {i: special[i] if i in special else bytes(shown[c] for c in t) for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, dtype=np.int64)
+        self.a_sizes[list(self.a_bytes)] = [len(b) for b in self.a_bytes.values()]
+        self.b_sizes = np.array([len(b) for b in self.b_bytes], dtype=np.int64)
+        self.most = max(len(self.a_sizes), len(self.b_sizes))
+        self.numbers = np.array([f"{i}{sign}" for sign in (",", "|", ";", "\n") for i in range(self.most)], dtype=object)
         with open(a_path, encoding="utf-8") as f:
             rules = json.load(f)
         split = rules.get("pre_tokenizer") or {}
@@ -86,24 +92,43 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.letters = 0
         self.shape: list[tuple[int, int, int, bool]] = []  # of each stretch: tokens of A and of B, links, whether it is broken
-        self.texts: list[bytes] = []  # its groups
+        self.texts: list[str] = []  # its groups
         self.links: list[int] = []  # all stretches' links, one behind the other
 
     def _learn(self, stretches: list[str]) -> None:
+        """Align stretches, all in one go: ends of tokens are places in the stretches laid one behind the other."""
         ids_a = [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
         ids_b = self.b.encode([s[1:] for s in stretches], num_threads=1)
-        for s, xs, ys in zip(stretches, ids_a, ids_b, strict=True):
-            self.known[s] = len(self.shape)
-            self.letters += len(s)
-            data = s.encode()
-            if b"".join([self.a_bytes[x] for x in xs]) != data or b"".join([self.b_bytes[y] for y in ys]) != data:
-                self.shape.append((0, 0, 0, True))
-                self.texts.append(b"")
-                continue
-            groups, links = _align(xs, [len(self.a_bytes[x]) for x in xs], ys, [len(self.b_bytes[y]) for y in ys])
-            self.shape.append((len(xs), len(ys), len(links), False))
-            self.texts.append(groups.encode())
-            self.links.extend(links)
+        data = [s.encode() for s in stretches]
+        whole = b"".join(data)
+        joined = [b"".join([table[i] for ids in side for i in ids]) for side, table in ((ids_a, self.a_bytes), (ids_b, self.b_bytes))]
+        broken = np.zeros(len(stretches), dtype=bool)
+        if not joined[0] == joined[1] == whole:
+            for k, (d, xs, ys) in enumerate(zip(data, ids_a, ids_b, strict=True)):
+                broken[k] = not b"".join([self.a_bytes[x] for x in xs]) == b"".join([self.b_bytes[y] for y in ys]) == d
+            for k in np.flatnonzero(broken).tolist():
+                ids_a[k], ids_b[k], data[k] = [], [], b""
+        n_a, n_b, size = (np.fromiter(map(len, xs), dtype=np.int64, count=len(xs)) for xs in (ids_a, ids_b, data))
+        xs, ys = (np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        ends_x, ends_y, ends = np.cumsum(self.a_sizes[xs]), np.cumsum(self.b_sizes[ys]), np.cumsum(size)
+        common = np.intersect1d(ends_x, ends_y, assume_unique=True)
+        n_links = np.diff(np.searchsorted(common, np.concatenate([[0], ends]), side="right"))
+        self.links.extend((ys[np.isin(ends_y, common, assume_unique=True)] << A_BITS | xs[np.isin(ends_x, common, assume_unique=True)]).tolist())
+        # The groups as text: A's tokens and B's tokens of each group in turn, with the sign that stands behind each.
+        key = np.concatenate([2 * np.searchsorted(common, ends_x), 2 * np.searchsorted(common, ends_y) + 1])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        last = np.ones(len(key), dtype=bool)
+        last[:-1] = key[1:] != key[:-1]
+        stops = np.isin(common, ends)[key >> 1]
+        sign = np.where(~last, 0, np.where(key & 1 == 0, 1, np.where(stops, 3, 2)))
+        shown = "".join(self.numbers[sign * self.most + np.concatenate([xs, ys])[order]].tolist()).split("\n")[:-1]
+        at = iter(shown)
+        self.texts.extend("" if b or not n else next(at) for b, n in zip(broken.tolist(), n_links.tolist(), strict=True))
+        self.shape.extend(zip(n_a.tolist(), n_b.tolist(), n_links.tolist(), broken.tolist(), strict=True))
+        first = len(self.known)
+        self.known.update(zip(stretches, range(first, first + len(stretches)), strict=True))
+        self.letters += sum(map(len, stretches))
 
     def run(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """For texts: their numbers of tokens of A, of B and of links (rows of an array), their groups' digests, and all links' codes and texts."""
@@ -118,11 +143,9 @@ class Aligner:
         kind = np.array([k for ks in kinds for k in ks], dtype=np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
         shape = np.array(self.shape, dtype=np.int64).reshape(-1, 4)
-        sums = np.zeros((4, len(texts)), dtype=np.int64)
-        for i in range(4):
-            np.add.at(sums[i], owner, shape[kind, i])
+        sums = np.stack([np.bincount(owner, weights=shape[kind, i], minlength=len(texts)).astype(np.int64) for i in range(4)])
         good = (sums[3] == 0) & (sizes > 0)
-        digests = [hashlib.sha256(b";".join([self.texts[k] for k in ks])).hexdigest() if g else "" for ks, g in zip(kinds, good.tolist(), strict=True)]
+        digests = [hashlib.sha256(";".join([self.texts[k] for k in ks]).encode()).hexdigest() if g else "" for ks, g in zip(kinds, good.tolist(), strict=True)]
         kept = good[owner]
         kind, owner = kind[kept], owner[kept]
         n = shape[kind, 2]
@@ -133,22 +156,6 @@ class Aligner:
         return sums[:3] * good, digests, np.array(self.links, dtype=np.int64)[places], np.repeat(owner, n)
 
 
-def _align(xs: list[int], size_x: list[int], ys: list[int], size_y: list[int]) -> tuple[str, list[int]]:
-    """The groups of two runs of tokens over the same bytes, as text, and the codes of the tokens linked."""
-    groups, links, i, j, at_x, at_y = [], [], 0, 0, 0, 0
-    while i < len(xs):
-        a, b = i, j
-        at_x, at_y, i, j = at_x + size_x[i], at_y + size_y[j], i + 1, j + 1
-        while at_x != at_y:
-            if at_x < at_y:
-                at_x, i = at_x + size_x[i], i + 1
-            else:
-                at_y, j = at_y + size_y[j], j + 1
-        groups.append(",".join(map(str, xs[a:i])) + "|" + ",".join(map(str, ys[b:j])))
-        links.append(ys[j - 1] << A_BITS | xs[i - 1])
-    return ";".join(groups), links
-
-
 @lru_cache(maxsize=2)
 def _aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
