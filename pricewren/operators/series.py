@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 from pricewren.functions.money import exact_avg, money_round, percent_change, ratio, trend
 from pricewren.sources.tables import SERIES_ORDER
 
-#: Severity of each kind of alert.
-SEVERITY = {"all_time_low": "info", "undercut": "critical", "price_drop": "warning", "price_rise": "info"}
+#: Severity of each kind of alert; failures in a row at which a listing is given up, least change in percent, minutes without a repeat.
+SEVERITY = {"undercut": "critical", "price_drop": "warning", "price_rise": "info", "all_time_low": "warning", "out_of_stock": "info", "scrape_failing": "warning"}
+KINDS = tuple(SEVERITY)
+FAILURES, PERCENT, COOLDOWN = 10, 5.0, 60
 
 
 def in_series(*keys: str) -> Window:
@@ -104,6 +106,43 @@ def cooled_down(alerts: DataFrame, keys: tuple[str, ...], at: str, tie: str, min
     return raised
 
 
+def observed_alerts(observations: DataFrame, failures: int = FAILURES, percent: float = PERCENT, minutes: int = COOLDOWN) -> DataFrame:
+    """All kinds of alerts of observations (product_id, competitor_id, event_id, ts, ok, price, in_stock, target_price), after the cooldown of each listing and kind.
+
+    Without a price an observation is a failed check; at `failures` in a row, and at each more, the listing is failing, and from then on it makes no all-time low,
+    which is a price below all that listings in use had of the product before. Failures carry the listing's last two prices. Rows are in order of ts and event_id; one shuffle by
+    product, whose windows serve listings as well. Rows without a product or listing are left out.
+    """
+    rows = observations.where("product_id IS NOT NULL AND competitor_id IS NOT NULL").withColumn("price", F.when(F.col("ok"), F.col("price"))).withColumn("ok", F.col("price").isNotNull())
+    # Spark keeps a partitioning by product for windows by (product, listing).
+    rows = rows.repartition("product_id")
+    listing = Window.partitionBy("product_id", "competitor_id").orderBy("ts", "event_id")
+    before = listing.rowsBetween(Window.unboundedPreceding, -1)
+    product = Window.partitionBy("product_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    island = Window.partitionBy("product_id", "competitor_id", "island").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("known", F.last("price", ignorenulls=True).over(before))
+    pair = F.when(F.col("ok"), F.struct(F.col("known").alias("old_price"), F.col("price").alias("new_price")))
+    rows = rows.withColumn("last_pair", F.last(pair, ignorenulls=True).over(before)).withColumn("island", F.count_if("ok").over(listing.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("streak", F.count_if(~F.col("ok")).over(island))
+    rows = rows.withColumn("active", F.max("streak").over(listing.rowsBetween(Window.unboundedPreceding, 0)) < failures)
+    rows = rows.withColumn("lowest", F.min(F.when(F.col("active"), F.col("price"))).over(product)).withColumn("change", percent_change(F.col("known"), F.col("price"), 4))
+    ok, price, change = F.col("ok"), F.col("price"), F.col("change")
+    rules = {
+        "undercut": ok & (price < F.col("target_price")),
+        "price_drop": change <= -percent,
+        "price_rise": change >= percent,
+        "all_time_low": F.col("active") & (price < F.col("lowest")),
+        "out_of_stock": ok & ~F.col("in_stock"),
+        "scrape_failing": ~ok & (F.col("streak") >= failures),
+    }
+    met = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(k).alias("type"), F.lit(SEVERITY[k]).alias("severity"))) for k, rule in rules.items()]))
+    old, new = F.when(ok, F.col("known")).otherwise(F.col("last_pair.old_price")), F.when(ok, price).otherwise(F.col("last_pair.new_price"))
+    found = rows.select("product_id", "competitor_id", "event_id", "ts", F.explode(met).alias("a"), old.alias("old_price"), new.alias("new_price"), change.alias("change_pct"))
+    found = found.select("product_id", "competitor_id", "event_id", "ts", "a.*", "old_price", "new_price", "change_pct")
+    due = cooled_down(found, ("product_id", "competitor_id", "type"), "ts", "event_id", minutes)
+    return found.drop("ts").join(due, ["product_id", "competitor_id", "type", "event_id"], "left_semi")
+
+
 def gap_filled_days(rows: DataFrame, at: str, measures: dict[str, Column]) -> DataFrame:
     """Measures by day from the first to the last day, with zeros on days without rows."""
     days = rows.groupBy(F.date_trunc("day", at).alias("day")).agg(*[m.alias(k) for k, m in measures.items()])

@@ -206,7 +206,7 @@ a AS (
   SELECT *, 'undercut' AS type, 'critical' AS severity FROM x WHERE price < our_price AND price IS DISTINCT FROM previous_price
   UNION ALL SELECT *, 'price_drop', 'warning' FROM x WHERE change_pct <= -5
   UNION ALL SELECT *, 'price_rise', 'info' FROM x WHERE change_pct >= 5
-  UNION ALL SELECT *, 'all_time_low', 'info' FROM x WHERE price < lowest_before)
+  UNION ALL SELECT *, 'all_time_low', 'warning' FROM x WHERE price < lowest_before)
 SELECT product_id, competitor_id, recorded_at, order_id, line_no, type, severity, previous_price AS old_price, price AS new_price, change_pct FROM a""",
     "warehouse_analysis": f"WITH {_ANALYSIS_SQL} SELECT product_id, pool, best, worst, median_price, spread, spread_pct, margin_pct, below_target FROM analysis",
     "portfolio_stats": f"""WITH {_ANALYSIS_SQL} SELECT count(*) AS products, CAST(sum(CAST(spread AS DECIMAL(18,2))) AS DOUBLE) AS total_spread,

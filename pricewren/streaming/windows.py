@@ -8,6 +8,8 @@ lost executor or driver costs no rows. Late rows are those behind the watermark;
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,19 @@ def first_claims(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(keys)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for a stream that is started within; a stream keeps what it was started with."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialised(stream: DataFrame, spark: SparkSession, tag: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Run a stream over what is there and read its result.
 
