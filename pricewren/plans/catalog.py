@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewren.functions.money import money_round
-from pricewren.operators import catalog, market
-from pricewren.sources import tables
+from pricewren.operators import catalog, imports, market
+from pricewren.shared import shared_root
+from pricewren.sources import keyed, tables
 from pricewren.sources.tables import LISTINGS_SQL, sql_money
 
 
@@ -57,7 +61,52 @@ def bulk_import_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.import_status(pages, known).select("page_id", "sku", "status")
 
 
-QUERIES = {f.__name__: f for f in (catalog_filter_page, catalog_search_ilike, catalog_stats, catalog_facets, price_list_upsert, bulk_import_status)}
+#: A file to import, made from lines of orders (several of an order may have one number: the least of each column counts): skus of a part that recur, gaps, good and bad addresses. SQL of both engines.
+_LEAST = ("l_partkey", "l_suppkey", "l_quantity")
+_FILE = """l_orderkey * 8 + l_linenumber AS row, CASE WHEN l_orderkey % 11 <> 0 THEN concat('S', l_partkey) END AS sku, concat('item ', l_partkey, ' ', l_linenumber) AS name,
+  CASE WHEN l_linenumber % 3 = 0 THEN concat('B', l_suppkey % 30) END AS brand, CASE WHEN l_suppkey % 4 = 0 THEN concat('C', l_linenumber) END AS category,
+  CASE WHEN l_orderkey % 5 <> 0 THEN CAST(l_quantity AS DOUBLE) END AS our_price, concat(' https://shop', l_suppkey % 40, '.example.com/p/', l_partkey, ' ') AS u1,
+  CASE (l_orderkey + l_linenumber) % 13 WHEN 0 THEN 'ftp://x.example.org/a' WHEN 1 THEN 'HTTP://Shop1.example.com//?q=1' WHEN 2 THEN 'nothing' WHEN 3 THEN ' ' WHEN 4 THEN NULL
+    WHEN 5 THEN concat('https://shop', l_suppkey % 40, '.example.com/p/', l_partkey) ELSE concat('http://www.store', l_linenumber, '.example.org/i/', l_partkey % 50) END AS u2, (l_orderkey + l_suppkey) % 97 = 0 AS bare"""
+_HELD = "concat('S', p_partkey) AS sku, concat('old ', p_name) AS name, p_brand AS brand, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS category, p_retailprice AS our_price"
+
+
+def _import(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A file, and the products (a third of the parts) and listings that are there before it."""
+    lines = tables.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in _LEAST])
+    file = lines.selectExpr(*_split(_FILE), "l_orderkey % 2 AS half").withColumn("urls", F.when(~F.col("bare"), F.array("u1", "u2"))).drop("u1", "u2", "bare")
+    held = tables.table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    products = held.selectExpr("concat('sku:S', p_partkey) AS key", *_split(_HELD), "1L AS competitor_count")
+    listings = held.selectExpr("concat('sku:S', p_partkey) AS key", "concat('https://shop', p_partkey % 40, '.example.com/p/', p_partkey) AS url", "concat('shop', p_partkey % 40, '.example.com') AS host", "true AS is_primary")
+    return file, products, listings
+
+
+def _split(columns: str) -> list[str]:
+    """The expressions of a select list, each of which ends in its name."""
+    return [c.strip() for c in re.findall(r"(.+?\sAS\s\w+)\s*(?:,|$)", columns, re.DOTALL)]
+
+
+def bulk_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each row of a file."""
+    return imports.outcomes(*_import(spark, sf_dir)).select("row", "key", "status", "listings_added", "problem")
+
+
+def bulk_import_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports.tally(imports.outcomes(*_import(spark, sf_dir), update_existing=False, dry_run=True))
+
+
+def bulk_import_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products after the file has come in two batches, the first of them twice."""
+    file, products, listings = _import(spark, sf_dir)
+    folder = f"{shared_root(spark)}/imports-{uuid.uuid4().hex}"
+    keyed.put(spark, f"{folder}/products", products, imports.PRODUCTS, ("key",), 0)
+    keyed.put(spark, f"{folder}/listings", listings, imports.LISTINGS, ("key", "url"), 0)
+    for batch, half in ((1, 0), (1, 0), (2, 1)):
+        imports.load(spark, folder, file.where(F.col("half") == half), batch)
+    return keyed.read(spark, f"{folder}/products", imports.PRODUCTS)
+
+
+QUERIES = {f.__name__: f for f in (catalog_filter_page, catalog_search_ilike, catalog_stats, catalog_facets, price_list_upsert, bulk_import_status, bulk_import, bulk_import_dry_run, bulk_import_batches)}
 
 _PRODUCTS_SQL = f"""{LISTINGS_SQL},
 products AS (
@@ -66,6 +115,20 @@ products AS (
     CASE WHEN p_size % 4 <> 0 THEN p_retailprice END AS target_price
   FROM part LEFT JOIN (SELECT product_id, min(price) AS current_price, count(*) AS competitor_count, max(updated_at) AS last_checked_at FROM listings GROUP BY 1) AS l ON l.product_id = p_partkey)"""
 
+
+def _import_sql(order: str = "row") -> str:
+    return f"""WITH f AS (SELECT {_FILE}, l_orderkey % 2 AS half FROM (SELECT l_orderkey, l_linenumber, {", ".join(f"min({c}) AS {c}" for c in _LEAST)} FROM lineitem GROUP BY ALL)),
+p AS (SELECT 'sku:S' || p_partkey AS key, {_HELD}, 'https://shop' || (p_partkey % 40) || '.example.com/p/' || p_partkey AS url FROM part WHERE p_partkey % 3 = 0),
+g AS (SELECT * EXCLUDE (u1, u2), coalesce('sku:' || sku, 'row:' || row) AS key, {order} AS ord,
+  list_filter([CASE WHEN NOT bare THEN trim(u1) END, CASE WHEN NOT bare THEN trim(u2) END], lambda u: u IS NOT NULL AND u <> '') AS urls FROM f),
+h AS (SELECT *, CASE WHEN len(urls) = 0 THEN 'no_urls' ELSE list_filter(list_transform(urls, lambda u: CASE WHEN NOT contains(u, ':') THEN 'invalid' WHEN lower(u) NOT LIKE 'http%://%' THEN 'not_http'
+    WHEN regexp_matches(u, '^[^:]+://[^/?#]+/*([?#].*)?$') THEN 'home_page' END), lambda x: x IS NOT NULL)[1] END AS problem, key IN (SELECT key FROM p) AS known FROM g),
+s AS (SELECT *, CASE WHEN problem IS NOT NULL THEN 'failed' WHEN NOT known AND ord = min(ord) FILTER (WHERE problem IS NULL) OVER (PARTITION BY key) THEN 'created' ELSE 'updated' END AS status FROM h),
+l AS (SELECT DISTINCT key, url, first_value(row) OVER (PARTITION BY key, url ORDER BY ord) AS row FROM (SELECT key, ord, row, unnest(urls) AS url FROM s WHERE status <> 'failed') WHERE (key, url) NOT IN (SELECT (key, url) FROM p)),
+n AS (SELECT row, count(*) AS listings_added FROM l GROUP BY row),
+o AS (SELECT s.*, coalesce(listings_added, 0) AS listings_added FROM s LEFT JOIN n USING (row))"""
+
+
 ORACLES = {
     "catalog_filter_page": f"""WITH {_PRODUCTS_SQL} SELECT product_id, name, brand, current_price, target_price FROM products
 WHERE our_price >= 905 AND our_price <= 1200 AND current_price < target_price AND is_active AND scrape_status = 'failed' ORDER BY current_price DESC NULLS LAST, product_id LIMIT 25 OFFSET 5""",
@@ -83,4 +146,13 @@ SELECT coalesce(n.key, o.key) AS key, coalesce(n.name, o.name) AS name, coalesce
 FROM o FULL JOIN n ON o.key = n.key""",
     "bulk_import_status": """SELECT page_id, 'S' || CAST(page_id % 200 AS VARCHAR) AS sku,
   CASE WHEN NOT coalesce(regexp_matches(url, '^https?://[^/?#]+/+[^/?#]'), false) THEN 'failed' WHEN page_id % 200 IN (SELECT s_suppkey FROM supplier) THEN 'updated' ELSE 'created' END AS status FROM pages""",
+    "bulk_import": f"{_import_sql()} SELECT row, key, status, listings_added, problem FROM o",
+    "bulk_import_dry_run": f"""{_import_sql()}, d AS (SELECT *, CASE WHEN problem IS NOT NULL THEN 'failed' WHEN known THEN 'skipped' ELSE 'created' END AS told FROM o)
+SELECT count(*) AS received, count(*) FILTER (WHERE told = 'created') AS created, CAST(0 AS BIGINT) AS updated, count(*) FILTER (WHERE told = 'skipped') AS skipped, count(*) FILTER (WHERE told = 'failed') AS failed,
+  CAST(coalesce(sum(len(urls)) FILTER (WHERE told = 'created'), 0) AS BIGINT) AS listings_added FROM d""",
+    "bulk_import_batches": f"""{_import_sql("half * 1000000000000 + row")},
+u AS (SELECT key, max(sku) AS sku, arg_max(name, ord) AS name, arg_max(brand, CASE WHEN brand IS NOT NULL THEN ord END) AS brand, arg_max(category, CASE WHEN category IS NOT NULL THEN ord END) AS category,
+  arg_max(our_price, CASE WHEN our_price IS NOT NULL THEN ord END) AS our_price, sum(listings_added) AS added FROM o WHERE status <> 'failed' GROUP BY key)
+SELECT coalesce(u.key, p.key) AS key, coalesce(u.sku, p.sku) AS sku, coalesce(u.name, p.name) AS name, coalesce(u.brand, p.brand) AS brand, coalesce(u.category, p.category) AS category,
+  coalesce(u.our_price, p.our_price) AS our_price, CAST(coalesce(u.added, 0) + CASE WHEN p.key IS NULL THEN 0 ELSE 1 END AS BIGINT) AS competitor_count FROM u FULL JOIN p ON u.key = p.key""",
 }
