@@ -82,3 +82,28 @@ def group_price_range(listings: DataFrame, group: str) -> DataFrame:
     """Range of prices by group, and the best saving where a group holds more than one price."""
     rows = listings.groupBy(group).agg(F.count("*").alias("offers"), F.min("price").alias("lowest"), F.max("price").alias("highest"))
     return rows.select(group, "offers", "lowest", "highest", F.when(F.col("offers") > 1, money_round(F.col("highest") - F.col("lowest"))).otherwise(0.0).alias("saving"))
+
+
+def rolled_up(products: DataFrame, listings: DataFrame) -> DataFrame:
+    """Products as their listings leave them: number of those in use, the cheapest of them (price and listing, the least number of equal ones), the price before it if it moved, lows and highs
+    that only widen, and the state: skipped without a listing in use, success (failures and error forgotten) where one of them succeeded, failed where
+    the product was checked at all, else as it was.
+
+    products: product_id, current_price, previous_price, lowest_price, highest_price, scrape_status, failure_count, last_error, last_checked_at; listings: product_id,
+    competitor_id, price, is_active, scrape_status, last_checked_at. Nulls in is_active or scrape_status count as neither. One shuffle with partial aggregation, and a join by product.
+    """
+    used = F.coalesce("is_active", F.lit(False))
+    best = F.when(used & F.col("price").isNotNull(), F.struct("price", "competitor_id"))
+    now = listings.groupBy("product_id").agg(
+        F.count_if(used).alias("competitor_count"), F.min(best).alias("best"), F.max("last_checked_at").alias("checked"), F.count_if(used & F.col("scrape_status").eqNullSafe(F.lit("success"))).alias("good"),
+    )
+    rows = products.join(now, "product_id", "left")
+    price, checked, old = F.col("best.price"), F.coalesce("checked", "last_checked_at"), F.col("current_price")
+    good = F.coalesce(F.col("good") > 0, F.lit(False))
+    status = F.when(F.coalesce("competitor_count", F.lit(0)) == 0, "skipped").when(good, "success").when(checked.isNotNull(), "failed").otherwise(F.col("scrape_status"))
+    return rows.select(
+        "product_id", F.coalesce("competitor_count", F.lit(0).cast("long")).alias("competitor_count"), price.alias("current_price"),
+        F.when(price.isNotNull() & ~price.eqNullSafe(old), old).otherwise(F.col("previous_price")).alias("previous_price"),
+        F.least("lowest_price", price).alias("lowest_price"), F.greatest("highest_price", price).alias("highest_price"), F.col("best.competitor_id").alias("cheapest_competitor_id"), status.alias("scrape_status"),
+        F.when(good, 0).otherwise(F.col("failure_count")).alias("failure_count"), F.when(~good, F.col("last_error")).alias("last_error"), checked.alias("last_checked_at"),
+    )

@@ -106,7 +106,22 @@ def bulk_import_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.read(spark, f"{folder}/products", imports.PRODUCTS)
 
 
-QUERIES = {f.__name__: f for f in (catalog_filter_page, catalog_search_ilike, catalog_stats, catalog_facets, price_list_upsert, bulk_import_status, bulk_import, bulk_import_dry_run, bulk_import_batches)}
+#: Products before a roll-up and what their listings are, as rules over keys; SQL of both engines.
+_BEFORE = """p_partkey AS product_id, CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice END AS current_price, CASE WHEN p_partkey % 6 = 1 THEN p_retailprice - 1 END AS previous_price,
+  CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice - 300 END AS lowest_price, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice + 300 END AS highest_price, 'pending' AS scrape_status, p_size AS failure_count,
+  CASE WHEN p_partkey % 2 = 0 THEN 'timeout' END AS last_error"""
+_CHECKED = """product_id, competitor_id, price, (product_id + competitor_id) % 4 <> 0 AND product_id % 10 <> 0 AS is_active,
+  CASE WHEN product_id % 4 = 1 THEN 'failed' WHEN (product_id * 3 + competitor_id) % 5 = 0 THEN 'success' ELSE 'failed' END AS scrape_status, CASE WHEN product_id % 8 <> 5 THEN updated_at END AS last_checked_at"""
+
+
+def product_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products rolled up from their listings, of which those of some products aren't in use, weren't checked or failed; some products have none."""
+    before = tables.table(spark, sf_dir, "part").selectExpr(*_split(_BEFORE), "CAST(NULL AS TIMESTAMP_NTZ) AS last_checked_at")
+    listings = tables.listings(spark, sf_dir).where("product_id % 200 < 190").selectExpr("product_id", "competitor_id", "price", *_split(_CHECKED.split("price, ", 1)[1]))
+    return market.rolled_up(before, listings)
+
+
+QUERIES = {f.__name__: f for f in (catalog_filter_page, catalog_search_ilike, catalog_stats, catalog_facets, price_list_upsert, bulk_import_status, bulk_import, bulk_import_dry_run, bulk_import_batches, product_states)}
 
 _PRODUCTS_SQL = f"""{LISTINGS_SQL},
 products AS (
@@ -155,4 +170,12 @@ u AS (SELECT key, max(sku) AS sku, arg_max(name, ord) AS name, arg_max(brand, CA
   arg_max(our_price, CASE WHEN our_price IS NOT NULL THEN ord END) AS our_price, sum(listings_added) AS added FROM o WHERE status <> 'failed' GROUP BY key)
 SELECT coalesce(u.key, p.key) AS key, coalesce(u.sku, p.sku) AS sku, coalesce(u.name, p.name) AS name, coalesce(u.brand, p.brand) AS brand, coalesce(u.category, p.category) AS category,
   coalesce(u.our_price, p.our_price) AS our_price, CAST(coalesce(u.added, 0) + CASE WHEN p.key IS NULL THEN 0 ELSE 1 END AS BIGINT) AS competitor_count FROM u FULL JOIN p ON u.key = p.key""",
+    "product_states": f"""WITH {LISTINGS_SQL}, b AS (SELECT {_BEFORE} FROM part), l AS (SELECT {_CHECKED} FROM listings WHERE product_id % 200 < 190),
+a AS (SELECT product_id, count(*) FILTER (WHERE is_active) AS n, min(price) FILTER (WHERE is_active) AS cheapest, max(last_checked_at) AS checked, count(*) FILTER (WHERE is_active AND scrape_status = 'success') AS good FROM l GROUP BY 1),
+c AS (SELECT product_id, min(competitor_id) AS shop FROM l JOIN a USING (product_id) WHERE is_active AND price = cheapest GROUP BY 1)
+SELECT product_id, coalesce(n, 0) AS competitor_count, cheapest AS current_price, CASE WHEN cheapest IS NOT NULL AND cheapest IS DISTINCT FROM b.current_price THEN b.current_price ELSE previous_price END AS previous_price,
+  CASE WHEN lowest_price IS NULL OR cheapest < lowest_price THEN coalesce(cheapest, lowest_price) ELSE lowest_price END AS lowest_price, CASE WHEN highest_price IS NULL OR cheapest > highest_price THEN coalesce(cheapest, highest_price) ELSE highest_price END AS highest_price,
+  shop AS cheapest_competitor_id, CASE WHEN coalesce(n, 0) = 0 THEN 'skipped' WHEN good > 0 THEN 'success' WHEN checked IS NOT NULL THEN 'failed' ELSE 'pending' END AS scrape_status,
+  CASE WHEN good > 0 THEN 0 ELSE failure_count END AS failure_count, CASE WHEN coalesce(good, 0) = 0 THEN last_error END AS last_error, checked AS last_checked_at
+FROM b LEFT JOIN a USING (product_id) LEFT JOIN c USING (product_id)""",
 }
