@@ -6,9 +6,9 @@ Where a tokenizer's rules show that no token spans a space or line feed, and tha
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,17 +22,21 @@ PIECES, WORDS = 200_000, 100_000
 RUN_BYTES = 3 << 20
 #: Pre-tokenizer patterns whose matches hold no white space.
 SPACED = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",)
-#: On a line of its own, a word of Latin-1 letters and the marks behind it; no mark here starts a special token or a contraction.
-_PLAIN = re.compile("^([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;=?@^|~)\"]*)$", re.MULTILINE)
+#: Words of Latin-1 letters, and marks that may stand behind them; no mark here starts a special token or a contraction.
+_LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªµº")
+_MARKS = "!#$%&*+,./:;=?@^|~)\""
 
 
-def _byte_letters() -> dict[str, str]:
-    """For small Latin-1 letters, the characters that stand for their UTF-8 bytes in a byte-level vocabulary."""
+def _byte_letters() -> str:
+    """For each byte but the space, the character that stands for it in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in shown]
-    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(other)}
-    small = [c for c in map(chr, range(0xDF, 0x100)) if c.isalpha()]
-    return {c: "".join(letter[b] for b in c.encode()) for c in small}
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(other)} | {32: " "}
+    return "".join(letter[b] for b in range(256))
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
 
 class TextEncoder:
@@ -60,7 +64,7 @@ class TextEncoder:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-            self.letters = str.maketrans(_byte_letters())
+            self.letters = _byte_letters()
             self.marks: dict[str, bytes] = {"": b""}
             self.pieces: dict[str, bytes] = {"": b""}
             self.known: dict[str, bytes] = {}
@@ -70,29 +74,40 @@ class TextEncoder:
 
     def _learn_words(self, words: list[str]) -> None:
         """Encode words of small Latin letters, all in one text."""
-        ids = np.array(self.words.encode_batch_fast([" ".join(words).translate(self.letters)], add_special_tokens=False)[0].ids, dtype="<u4")
+        letters, _ = codecs.charmap_decode(" ".join(words).encode(), "strict", self.letters)
+        ids = np.array(self.words.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words):
             self.known.update(zip(words, self._plainly(words), strict=True))
             return
-        data, starts = ids.tobytes(), np.concatenate([[0], ends[:-1]])
-        self.known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, starts.tolist(), ends.tolist(), strict=True))
+        data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+        self.known.update(zip(words, [data[a:b] for a, b in zip(bounds, bounds[1:])], strict=True))
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: pa.Array) -> list[bytes]:
+        """Encode distinct pieces and remember them."""
         if len(self.known) > WORDS:
             self.known.clear()
         if len(self.marks) > PIECES:
             self.marks = {"": b""}
-        plain = _PLAIN.findall("\n".join(new))
-        stems = "\n".join([w for w, _ in plain]).lower().split("\n")
-        if words := list(set(stems) - self.known.keys() - {""}):
-            self._learn_words(words)
-        if marks := list({m for _, m in plain} - self.marks.keys()):
-            self.marks.update(zip(marks, self._plainly(marks), strict=True))
-        for (w, m), stem in zip(plain, stems, strict=False):
-            self.pieces[w + m] = self.known[stem] + self.marks[m] if m else self.known[stem]
-        if other := list(new - self.pieces.keys()):
-            self.pieces.update(zip(other, self._plainly(other), strict=True))
+        stems, marks = pc.utf8_rtrim(new, characters=_MARKS), pc.utf8_ltrim(new, characters=_LETTERS)
+        # A word and marks, if both together are the whole piece.
+        plain = pc.equal(pc.add(pc.binary_length(stems), pc.binary_length(marks)), pc.binary_length(new))
+        plain = pc.and_(plain, pc.greater(pc.binary_length(stems), 0)).to_numpy(zero_copy_only=False)
+        at = pa.array(np.flatnonzero(plain))
+        stems, marks = pc.utf8_lower(stems.take(at)).dictionary_encode(), marks.take(at).dictionary_encode()
+        words, ends = _strings(stems.dictionary), _strings(marks.dictionary)
+        if unknown := [w for w in words if w not in self.known]:
+            self._learn_words(unknown)
+        if unknown := [m for m in ends if m not in self.marks]:
+            self.marks.update(zip(unknown, self._plainly(unknown), strict=True))
+        words, ends = [self.known[w] for w in words], [self.marks[m] for m in ends]
+        out = np.empty(len(new), dtype=object)
+        out[plain] = [words[i] + ends[j] for i, j in zip(stems.indices.to_numpy().tolist(), marks.indices.to_numpy().tolist(), strict=True)]
+        if other := _strings(new.take(pa.array(np.flatnonzero(~plain)))):
+            out[~plain] = self._plainly(other)
+        found = out.tolist()
+        self.pieces.update(zip(_strings(new), found, strict=True))
+        return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: empty) as little-endian unsigned 32-bit numbers."""
@@ -101,14 +116,12 @@ class TextEncoder:
             return self._plainly(texts.to_pylist())
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pieces.flatten().dictionary_encode()
-        kinds = coded.dictionary.to_pylist()
         if len(self.pieces) > PIECES:
             self.pieces = {"": b""}
-        found = [*map(self.pieces.get, kinds)]
+        found = [*map(self.pieces.get, _strings(coded.dictionary))]
         if gaps := [i for i, x in enumerate(found) if x is None]:
-            self._learn({kinds[i] for i in gaps})
-            for i in gaps:
-                found[i] = self.pieces[kinds[i]]
+            for i, x in zip(gaps, self._learn(coded.dictionary.take(pa.array(gaps))), strict=True):
+                found[i] = x
         # The ids of all pieces one behind the other: those of each kind are copied to where its pieces stand.
         ids = np.frombuffer(b"".join(found), dtype="<u4")
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4

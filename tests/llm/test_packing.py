@@ -83,3 +83,29 @@ def test_repeats_stay_inside_the_histogram():
         for m in c:
             used[m] += n
     assert (used <= histogram).all() and counts.sum() > 0
+
+
+def test_learning_pieces_costs_little_beside_the_library():
+    """New pieces have the library's ids, and to learn them costs no more than about as much again as to encode their words."""
+    import random
+    import time
+
+    import pyarrow as pa
+
+    from pricewren.llm.tokens import TextEncoder
+
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéñ"
+    odd = "ÄÖÜ Éa, ÿ. ª µm, ºC x² ß! ŒUVRE, a,b c'est don't l'été, d'A <b> K̈, ,. ... é́, İx,".split(" ")
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(5, 12))) for _ in range(60_000)]
+    text = " ".join([*odd, *(w.capitalize() + rng.choice(["", "", ",", ".", "!)"]) for w in words)])
+    assert np.frombuffer(TextEncoder(PATH).encode(pa.array([text]))[0], dtype="<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    ratios = []
+    for _ in range(3):
+        all_, library = TextEncoder(PATH), TextEncoder(PATH)
+        began = time.process_time()
+        all_.encode(pa.array([text]))
+        learned = time.process_time()
+        library.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ratios.append((learned - began) / (time.process_time() - learned))
+    assert min(ratios) < 2.5, ratios
