@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricewren.llm.common import frugal, shuffle_partitions, written
-from pricewren.llm.tokens import encoder, slices
+from pricewren.llm.tokens import ENCODED_BYTES, encoder, slices
 
 #: Least and greatest number of groups that the documents of one length are counted in; in between, one for each shuffle partition.
 SALTS = (64, 1024)
@@ -212,7 +212,7 @@ def _encoded(path: str, end_id: int, window: int) -> Callable[[Batches], Iterato
     def encode(batches: Batches) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         for batch in batches:
-            for at, n in slices(batch.column("text")):
+            for at, n in slices(batch.column("text"), ENCODED_BYTES):
                 part = batch.slice(at, n)
                 ids = [x + end for x in tokens.encode(part.column("text"))]
                 sums = [[zlib.crc32(x[i : i + 4 * window]) for i in range(0, len(x), 4 * window)] for x in ids]  # of the pieces of an uncut document
@@ -251,7 +251,7 @@ def _wanted_ids(path: str, end_id: int, wanted) -> Callable[[Batches], Iterator[
             keys = batch.column("key").to_numpy()
             hit = np.flatnonzero(bits[keys & (FILTER_BITS - 1)])
             wanted_rows = batch.take(pa.array(hit))
-            for at, n in slices(wanted_rows.column("text")):
+            for at, n in slices(wanted_rows.column("text"), ENCODED_BYTES):
                 part = wanted_rows.slice(at, n)
                 ids = [x + end for x in tokens.encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("key2"), pa.array(ids, pa.binary())], names=["key", "key2", "ids"])

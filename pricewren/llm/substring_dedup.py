@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.llm.shingles import _BASE, _BLANK, _INVERSE, RUN_BYTES, _power, mix
+from pricewren.llm.shingles import _BASE, _BLANK, _INVERSE, _power, mix
 
+#: Texts are worked on in stretches of about so many bytes.
+RUN_BYTES = 1 << 20
 #: Least and greatest bytes of text of a block, and the bytes for each pair of a block and a part in between: so the number of pairs, each of which is
 #: a row, grows with the input and not with its square.
 BLOCK_BYTES, PAIR_BYTES = (6 << 20, 64 << 20), 1 << 14

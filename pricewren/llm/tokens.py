@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 #: Bounds of what a worker remembers.
 PIECES, WORDS = 200_000, 100_000
-#: Texts are encoded in runs of about so many bytes.
-RUN_BYTES = 3 << 20
+#: Texts are cut into runs of about so many bytes; the encoder takes shorter ones, for it needs some 50 times their size while it learns.
+RUN_BYTES, ENCODED_BYTES = 3 << 20, 1 << 20
 #: Pre-tokenizer patterns whose matches hold no white space.
 SPACED = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",)
 #: Words of Latin-1 letters, and marks that may stand behind them; no mark here starts a special token or a contraction.
@@ -85,8 +85,8 @@ class TextEncoder:
 
     def _learn(self, new: pa.Array) -> list[bytes]:
         """Encode distinct pieces and remember them."""
-        if len(self.known) > WORDS:
-            self.known.clear()
+        if len(self.pieces) + len(new) > PIECES:
+            self.pieces = {"": b""}
         if len(self.marks) > PIECES:
             self.marks = {"": b""}
         stems, marks = pc.utf8_rtrim(new, characters=_MARKS), pc.utf8_ltrim(new, characters=_LETTERS)
@@ -96,6 +96,8 @@ class TextEncoder:
         at = pa.array(np.flatnonzero(plain))
         stems, marks = pc.utf8_lower(stems.take(at)).dictionary_encode(), marks.take(at).dictionary_encode()
         words, ends = _strings(stems.dictionary), _strings(marks.dictionary)
+        if len(self.known) + len(words) > WORDS:
+            self.known.clear()
         if unknown := [w for w in words if w not in self.known]:
             self._learn_words(unknown)
         if unknown := [m for m in ends if m not in self.marks]:
@@ -116,8 +118,6 @@ class TextEncoder:
             return self._plainly(texts.to_pylist())
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pieces.flatten().dictionary_encode()
-        if len(self.pieces) > PIECES:
-            self.pieces = {"": b""}
         found = [*map(self.pieces.get, _strings(coded.dictionary))]
         if gaps := [i for i, x in enumerate(found) if x is None]:
             for i, x in zip(gaps, self._learn(coded.dictionary.take(pa.array(gaps))), strict=True):
@@ -134,12 +134,12 @@ class TextEncoder:
         return [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Start and length of runs of rows of about RUN_BYTES bytes."""
+def slices(texts: pa.Array, size: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of rows of about `size` bytes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(ends):
-        n = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN_BYTES)) - at
+        n = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) - at
         n = max(1, min(n, len(ends) - at))
         yield at, n
         at += n
