@@ -1,13 +1,16 @@
-"""What operators hold in a worker's memory."""
+"""What operators hold in a worker's memory and leave on disk."""
 
 from __future__ import annotations
 
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
 
+from pricewren.llm.common import written
+
 #: Prints by how many MB at most a worker's memory grows while it works on one batch, beside the batch.
 GROWTH = """
 import ctypes, random, re
@@ -45,3 +48,18 @@ def test_workers_stay_small(setup, most):
     out = subprocess.run([sys.executable, "-c", GROWTH.format(setup=setup)], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=200)
     assert out.returncode == 0, out.stderr
     assert float(out.stdout) < most
+
+
+def test_writing_leaves_no_shuffle_files(spark):
+    def shuffled() -> int:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = shuffled(), spark.conf.get(name, None)
+    table = written(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counts")
+    deadline = time.time() + 20
+    while shuffled() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert sum(r["count"] for r in table.collect()) == 1000 and spark.conf.get(name, None) == kept
