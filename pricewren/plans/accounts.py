@@ -90,8 +90,9 @@ def listing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers by order in the order of their coverage: how often each stands in which place."""
-    cover = basket.coverage(order_lines(spark, sf_dir), part_prices(spark, sf_dir), tables.supplier_terms(spark, sf_dir))
-    return offers.coverage_order(cover).groupBy("supplier_id", "place").agg(F.count("*").alias("n"))
+    counted = lambda cover: basket.places(cover).groupBy("supplier_id", "place").agg(F.count("*").alias("n"))
+    rows = basket.of_coverage(order_lines(spark, sf_dir), part_prices(spark, sf_dir), tables.supplier_terms(spark, sf_dir), counted)
+    return rows.groupBy("supplier_id", "place").agg(F.sum("n").alias("n"))
 
 
 def query_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
